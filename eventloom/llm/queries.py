@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from eventloom.llm import token_store, url_filter, warc
+from eventloom.llm import quality_rules, rule_ensemble, token_store, url_filter, warc
 from eventloom.llm.common import scratch_path, table
 
 
@@ -20,6 +21,16 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_digest(token_store.read_token_store(spark, path))
 
 
+def op2_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = rule_ensemble.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("reject_reasons", ",").alias("reasons"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -33,6 +44,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_token_ids": op1_token_ids,
+        "op2_rule_ensemble": op2_rule_ensemble,
+        "op7_quality_rules": op7_quality_rules,
         "op9_url_filter": op9_url_filter,
         "op10_warc": op10_warc,
     }
