@@ -6,8 +6,8 @@ indexes each ``row_index_stride`` rows and Bloom filters on ``doc_id``, so a rea
 on ids and read stripes in parallel.  ``part`` and ``part_start`` place each document in the global
 token stream: its start is the total of all earlier parts plus ``part_start``.
 
-Encoding is by the tokenizers library.  Texts repeat words, so each worker remembers the ids of
-pieces already encoded; a text is cut only where the byte-level pre-tokenizer always cuts (before a
+Encoding is by the tokenizers library.  Texts repeat words, so each worker remembers the ids of a
+bounded number of pieces already encoded; a text is cut only where the byte-level pre-tokenizer always cuts (before a
 space or newline that is followed by a character which isn't white space), so the pieces' ids joined
 are the ids of the whole text.  Texts with longer runs of white space are encoded whole.
 
@@ -19,6 +19,7 @@ than ``doc_id`` and ``text`` are ignored.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -30,13 +31,25 @@ from pyspark.sql import functions as F
 from eventloom.llm.common import small_batches
 
 STORE_SCHEMA = "part int, part_start long, doc_id long, token_ids array<int>"
-#: Pieces that a worker remembers before it starts again; bounds its memory.
-MAX_PIECES = 400_000
-_RUN = re.compile(r"\s\s|^\s|\s\Z|[^\S \n]")
+#: Pieces that a worker remembers in each of two generations; bounds its memory.
+MAX_PIECES = 300_000
+#: A run of Latin letters and one of ASCII punctuation: always two pre-tokens.
+_PARTS = re.compile(r"(\n?)([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-/:-@\[-`{-~]*)")
+
+
+def byte_letters() -> str:
+    """The character that byte-level vocabularies write for each byte."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(0x100, 0x200))
+    return "".join(chr(b if b in plain else next(rest)) for b in range(256))
 
 
 class PieceEncoder(dict):
-    """Maps a piece (without its leading space) to its ids as little-endian 32-bit integers."""
+    """Maps a piece (without its leading space) to its ids as little-endian 32-bit integers.
+
+    Of the pieces that aren't in the present generation those in the one before come back; when the
+    present one is full it becomes the one before.
+    """
 
     def __init__(self, tokenizer_path: str):
         super().__init__()
@@ -44,12 +57,38 @@ class PieceEncoder(dict):
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
+        self.before: dict[str, bytes] = {}
+        self.suffixes: dict[str, bytes] = {"": b""}
+        self.newline = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
 
+    def word(self, word: str) -> bytes:
+        """Ids of one pre-token."""
+        tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+        return struct.pack(f"<{len(tokens)}i", *[t.id for t in tokens])
+
+    def suffix(self, text: str) -> bytes:
+        ids = self.suffixes.get(text)
+        if ids is None:
+            if len(self.suffixes) > 10_000:
+                self.suffixes = {"": b""}
+            ids = self.suffixes[text] = self.whole(text)
+        return ids
+
     def __missing__(self, piece: str) -> bytes:
-        ids = self.whole(piece if piece[:1] == "\n" else " " + piece)
+        ids = self.before.get(piece)
+        if ids is None:
+            parts = _PARTS.fullmatch(piece)
+            if parts is None:
+                ids = self.whole(piece if piece[:1] == "\n" else " " + piece)
+            elif parts[3]:
+                ids = self[parts[1] + parts[2]] + self.suffix(parts[3])
+            else:
+                ids = self.newline + self.word(parts[2]) if parts[1] else self.word(" " + piece)
         if len(piece) <= 64:
             self[piece] = ids
         return ids
@@ -57,18 +96,26 @@ class PieceEncoder(dict):
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if _RUN.search(text):
-            return self.whole(text)
+        if len(text.split()) != text.count(" ") + text.count("\n") + 1:
+            return self.whole(text)  # longer runs or other kinds of white space, or some at an end
         first, *rest = text.replace("\n", " \n").split(" ")
-        if len(self) + len(rest) > MAX_PIECES:
+        if len(self) > MAX_PIECES:
+            self.before = dict(self)
             self.clear()
         # the first piece has no space before it, so it isn't one of the remembered pieces
         return self.whole(first) + b"".join(map(self.__getitem__, rest))
 
 
+#: Kept while a worker lives, so that later tasks find the pieces of earlier ones.
+_encoders: dict[str, PieceEncoder] = {}
+
+
 def _encoder(tokenizer_path: str, end_id: int):
     def encode(batches):
-        pieces, end = PieceEncoder(tokenizer_path), np.asarray([end_id], "<i4").tobytes()
+        if tokenizer_path not in _encoders:
+            _encoders[tokenizer_path] = PieceEncoder(tokenizer_path)
+        pieces = _encoders[tokenizer_path]
+        end = np.asarray([end_id], "<i4").tobytes()
         part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
             ids = batch.column(0)
