@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import quality_rules, rule_ensemble, token_store, url_filter, warc
+from eventloom.llm import quality_rules, rule_ensemble, token_store, toxicity, url_filter, warc
 from eventloom.llm.common import scratch_path, table
 
 
@@ -31,6 +31,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("reject_reasons", ",").alias("reasons"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -46,6 +51,7 @@ def queries() -> dict:
         "op1_token_ids": op1_token_ids,
         "op2_rule_ensemble": op2_rule_ensemble,
         "op7_quality_rules": op7_quality_rules,
+        "op8_toxicity": op8_toxicity,
         "op9_url_filter": op9_url_filter,
         "op10_warc": op10_warc,
     }
