@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import quality_rules, rule_ensemble, token_store, toxicity, url_filter, warc
+from eventloom.llm import partenum, quality_rules, rule_ensemble, token_store, toxicity, url_filter, warc
 from eventloom.llm.common import scratch_path, table
 
 
@@ -26,6 +26,10 @@ def op2_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.near_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("reject_reasons", ",").alias("reasons"))
@@ -50,6 +54,7 @@ def queries() -> dict:
     return {
         "op1_token_ids": op1_token_ids,
         "op2_rule_ensemble": op2_rule_ensemble,
+        "op3_partenum": op3_partenum,
         "op7_quality_rules": op7_quality_rules,
         "op8_toxicity": op8_toxicity,
         "op9_url_filter": op9_url_filter,
