@@ -32,7 +32,7 @@ from eventloom.llm.common import small_batches
 
 STORE_SCHEMA = "part int, part_start long, doc_id long, token_ids array<int>"
 #: Pieces that a worker remembers in each of two generations; bounds its memory.
-MAX_PIECES = 300_000
+MAX_PIECES = 600_000
 #: A run of Latin letters and one of ASCII punctuation: always two pre-tokens.
 _PARTS = re.compile(r"(\n?)([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-/:-@\[-`{-~]*)")
 
