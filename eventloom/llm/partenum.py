@@ -323,7 +323,7 @@ def near_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     # 1. classes of equal sets
     real = sets.where("n > 0 and doc_id is not null")
     firsts = real.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep"))
-    nodes = materialize(sets.join(firsts, ["fp1", "fp2", "n"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep"), *sketch), "shingle-classes")
+    nodes = materialize(sets.join(firsts, ["fp1", "fp2", "n"], "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"), *sketch), "shingle-classes")
     reps = nodes.where("doc_id = rep").select("rep", "n", *sketch).dropDuplicates(["rep", "n", *sketch])
     rep_of = nodes.where("rep <> doc_id").select("doc_id", "rep")
 
