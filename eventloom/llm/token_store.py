@@ -7,7 +7,7 @@ on ids and read stripes in parallel.  ``part`` and ``part_start`` place each doc
 token stream: its start is the total of all earlier parts plus ``part_start``.
 
 Encoding is by the tokenizers library.  Texts repeat words, so each worker remembers the ids of a
-bounded number of pieces already encoded; a text is cut only where the byte-level pre-tokenizer always cuts (before a
+bounded number of pieces already encoded, in a sorted table that a whole chunk of texts is looked up in; a text is cut only where the byte-level pre-tokenizer always cuts (before a
 space or newline that is followed by a character which isn't white space), so the pieces' ids joined
 are the ids of the whole text.  Texts with longer runs of white space are encoded whole.
 
@@ -19,11 +19,11 @@ than ``doc_id`` and ``text`` are ignored.
 from __future__ import annotations
 
 import re
-import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,10 +31,15 @@ from pyspark.sql import functions as F
 from eventloom.llm.common import small_batches
 
 STORE_SCHEMA = "part int, part_start long, doc_id long, token_ids array<int>"
-#: Pieces that a worker remembers in each of two generations; bounds its memory.
-MAX_PIECES = 600_000
+#: Pieces that a worker remembers before it starts again; about 30 bytes each.
+MAX_PIECES = 4_000_000
+#: A text with a longer piece is encoded whole.
+LONGEST = 200
+#: Bytes of text that are encoded at once.
+CHUNK = 4 << 20
 #: A run of Latin letters and one of ASCII punctuation: always two pre-tokens.
-_PARTS = re.compile(r"(\n?)([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-/:-@\[-`{-~]*)")
+_PARTS = re.compile(r"([ \n\x01])([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-/:-@\[-`{-~]*)")
+_FACTOR = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 
 
 def byte_letters() -> str:
@@ -44,94 +49,158 @@ def byte_letters() -> str:
     return "".join(chr(b if b in plain else next(rest)) for b in range(256))
 
 
-class PieceEncoder(dict):
-    """Maps a piece (without its leading space) to its ids as little-endian 32-bit integers.
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, "uint64")
+    out[0] = 1
+    with np.errstate(over="ignore"):
+        return np.multiply.accumulate(out)
 
-    Of the pieces that aren't in the present generation those in the one before come back; when the
-    present one is full it becomes the one before.
+
+class PieceEncoder:
+    """Ids of whole texts from a sorted table of pieces seen before.
+
+    A piece is a word with the space, newline or text start before it, known by a 64-bit polynomial
+    hash of its bytes, which running sums give for all pieces of a chunk at once.  ``keys`` are the sorted
+    hashes, ``starts`` and ``sizes`` say where a piece's ids are in ``pool``.
     """
 
-    def __init__(self, tokenizer_path: str):
-        super().__init__()
-        from tokenizers import Tokenizer
+    def __init__(self, tokenizer_path: str, end_id: int):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
+        self.by_word = Tokenizer.from_file(tokenizer_path)
+        self.by_word.encode_special_tokens = True
+        self.by_word.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.letters = byte_letters()
-        self.before: dict[str, bytes] = {}
-        self.suffixes: dict[str, bytes] = {"": b""}
         self.newline = self.whole("\n")
-
-    def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
-
-    def word(self, word: str) -> bytes:
-        """Ids of one pre-token."""
-        tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
-        return struct.pack(f"<{len(tokens)}i", *[t.id for t in tokens])
-
-    def suffix(self, text: str) -> bytes:
-        ids = self.suffixes.get(text)
-        if ids is None:
-            if len(self.suffixes) > 10_000:
-                self.suffixes = {"": b""}
-            ids = self.suffixes[text] = self.whole(text)
-        return ids
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.before.get(piece)
-        if ids is None:
-            parts = _PARTS.fullmatch(piece)
-            if parts is None:
-                ids = self.whole(piece if piece[:1] == "\n" else " " + piece)
-            elif parts[3]:
-                ids = self[parts[1] + parts[2]] + self.suffix(parts[3])
-            else:
-                ids = self.newline + self.word(parts[2]) if parts[1] else self.word(" " + piece)
-        if len(piece) <= 64:
-            self[piece] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if len(text.split()) != text.count(" ") + text.count("\n") + 1:
-            return self.whole(text)  # longer runs or other kinds of white space, or some at an end
-        first, *rest = text.replace("\n", " \n").split(" ")
-        if len(self) > MAX_PIECES:
-            self.before = dict(self)
-            self.clear()
-        # the first piece has no space before it, so it isn't one of the remembered pieces
-        return self.whole(first) + b"".join(map(self.__getitem__, rest))
+        self.end = np.array([end_id], "int32")
+        self.factors, self.inverses = np.zeros(0, "uint64"), np.zeros(0, "uint64")
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.starts, self.sizes = np.zeros(0, "uint64"), np.zeros(0, "int64"), np.zeros(0, "int64")
+        self.pool = np.zeros(0, "int32")
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "int32")
+
+    def words(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of words (letters, perhaps after a space), each one pre-token: spelled as the vocabulary writes bytes,
+        with a newline between, they go through the same model behind a plain white-space split."""
+        mark = self.letters[10]
+        spelled = "\n".join(words).encode().decode("latin-1").translate(self.letters).replace(mark, f" {mark} ")
+        ids = np.asarray(self.by_word.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, "int32")
+        cuts = np.flatnonzero(ids == self.newline[0])
+        begin, end = np.append(0, cuts + 1).tolist(), np.append(cuts, len(ids)).tolist()
+        return [ids[i:j] for i, j in zip(begin, end)]
+
+    def learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+        parts = [_PARTS.fullmatch(p) for p in pieces]
+        known: dict[str, np.ndarray] = {}
+        plain = list({(" " + m[2] if m[1] == " " else m[2]) for m in parts if m})
+        if plain:
+            known = dict(zip(plain, self.words(plain)))
+        found = []
+        suffixes: dict[str, np.ndarray] = {}
+        for p, m in zip(pieces, parts):
+            if m is None:
+                found.append(self.whole(p[1:] if p[0] == "\x01" else p))
+                continue
+            own = [self.newline] if m[1] == "\n" else []
+            own.append(known[" " + m[2] if m[1] == " " else m[2]])
+            if m[3]:
+                if m[3] not in suffixes:
+                    suffixes[m[3]] = self.whole(m[3])
+                own.append(suffixes[m[3]])
+            found.append(np.concatenate(own) if len(own) > 1 else own[0])
+        sizes = np.fromiter(map(len, found), "int64", len(found))
+        starts = len(self.pool) + np.cumsum(sizes) - sizes
+        self.pool = np.concatenate([self.pool, *found])
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.starts, self.sizes = np.insert(self.keys, at, keys), np.insert(self.starts, at, starts), np.insert(self.sizes, at, sizes)
+
+    def hashes(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if len(data) > len(self.factors):
+            self.factors = _powers(_FACTOR, 2 * len(data))
+            self.inverses = _powers(pow(_FACTOR, -1, 1 << 64), 2 * len(data))
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([np.zeros(1, "uint64"), np.cumsum((data.astype("uint64") + np.uint64(1)) * self.factors[: len(data)])])
+            x = (sums[end] - sums[begin]) * self.inverses[begin]
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            return x ^ (x >> np.uint64(31))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with the end id; number of ids of each)."""
+        regular = [k for k, t in enumerate(texts) if t and len(t.split()) == t.count(" ") + t.count("\n") + 1 and "\x01" not in t]
+        raw = ["\x01" + texts[k] for k in regular]
+        data = np.frombuffer("".join(raw).encode(), "uint8")
+        begin = np.flatnonzero((data == 32) | (data == 10) | (data == 1))
+        end = np.append(begin[1:], len(data))
+        text_of = np.array(regular, "int64")[np.cumsum(data[begin] == 1) - 1] if regular else np.zeros(0, "int64")
+        odd = set(np.unique(text_of[end - begin > LONGEST]).tolist()) | set(range(len(texts))).difference(regular)
+        if len(self.keys) > MAX_PIECES:
+            self.forget()
+        keys, first, which = np.unique(self.hashes(data, begin, end), return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        new = self.keys[at] != keys if len(self.keys) else np.ones(len(keys), bool)
+        new &= (end - begin)[first] <= LONGEST
+        if new.any():
+            view = data.tobytes()
+            self.learn(keys[new], [view[i:j].decode() for i, j in zip(begin[first[new]].tolist(), end[first[new]].tolist())])
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        starts, sizes = self.starts[at][which] if len(at) else at, self.sizes[at][which] if len(at) else at
+        # texts encoded whole, and the end ids, stand behind the pool
+        extra, more = [self.end], []
+        for k in sorted(odd):
+            more.append((k, len(self.pool) + sum(map(len, extra)), len(ids := self.whole(texts[k]) if texts[k] else self.end[:0])))
+            extra.append(ids)
+        keep = ~np.isin(text_of, list(odd)) if odd else np.ones(len(text_of), bool)
+        own = np.array(more, "int64").reshape(-1, 3)
+        n = np.arange(len(texts))
+        owner = np.concatenate([text_of[keep], own[:, 0], n])
+        starts = np.concatenate([starts[keep], own[:, 1], np.full(len(n), len(self.pool))])
+        sizes = np.concatenate([sizes[keep], own[:, 2], np.ones(len(n), "int64")])
+        order = np.argsort(owner, kind="stable")
+        owner, starts, sizes = owner[order], starts[order], sizes[order]
+        total = int(sizes.sum())
+        place = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)
+        ids = np.concatenate([self.pool, *extra])[place]
+        return ids, np.bincount(owner, sizes, len(texts)).astype("int64")
 
 
 #: Kept while a worker lives, so that later tasks find the pieces of earlier ones.
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[tuple[str, int], PieceEncoder] = {}
+
+
+def _slices(texts: pa.Array):
+    """(offset, length) of runs of texts of about ``CHUNK`` bytes."""
+    at, held = 0, 0
+    for k, size in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if held and held + size > CHUNK:
+            yield at, k - at
+            at, held = k, 0
+        held += size
+    if len(texts) > at:
+        yield at, len(texts) - at
 
 
 def _encoder(tokenizer_path: str, end_id: int):
     def encode(batches):
-        if tokenizer_path not in _encoders:
-            _encoders[tokenizer_path] = PieceEncoder(tokenizer_path)
-        pieces = _encoders[tokenizer_path]
-        end = np.asarray([end_id], "<i4").tobytes()
+        if (tokenizer_path, end_id) not in _encoders:
+            _encoders[tokenizer_path, end_id] = PieceEncoder(tokenizer_path, end_id)
+        encoder = _encoders[tokenizer_path, end_id]
         part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids = batch.column(0)
-            texts = batch.column(1)
-            for at in range(0, batch.num_rows, 256):
-                docs = [pieces.encode(t.as_py() or "") + end for t in texts.slice(at, 256)]
-                sizes = np.asarray([len(d) // 4 for d in docs], "int64")
+            for at, n in _slices(batch.column(1)):
+                values, sizes = encoder.encode([t or "" for t in batch.column(1).slice(at, n).to_pylist()])
                 ends = np.cumsum(sizes)
-                values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(docs))])
-                offsets = pa.array(np.concatenate([[0], ends]).astype("int32"))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(len(docs), part, "int32")),
+                        pa.array(np.full(n, part, "int32")),
                         pa.array(start + ends - sizes),
-                        ids.slice(at, 256),
-                        pa.ListArray.from_arrays(offsets, values),
+                        batch.column(0).slice(at, n),
+                        pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype("int32")), pa.array(values)),
                     ],
                     ["part", "part_start", "doc_id", "token_ids"],
                 )
@@ -150,11 +219,10 @@ def write_token_store(
 ) -> None:
     """Encode ``docs(doc_id, text)`` and write them to ``path`` in ascending ``doc_id`` order."""
     small_batches(docs.sparkSession)
-    tie = F.xxhash64("text")
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .repartitionByRange("doc_id", tie)
-        .sortWithinPartitions("doc_id", tie)
+        .repartitionByRange("doc_id")
+        .sortWithinPartitions("doc_id", F.xxhash64("text"))
     )
     (
         ordered.mapInArrow(_encoder(tokenizer_path, end_id), STORE_SCHEMA)
