@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import lsa_decontam, partenum, quality_rules, rule_ensemble, token_store, toxicity, url_filter, warc
+from eventloom.llm import lsa_decontam, partenum, quality_rules, raking, rule_ensemble, secret_forest, token_store, toxicity, url_filter, warc
 from eventloom.llm.common import scratch_path, table
 
 
@@ -30,12 +30,21 @@ def op3_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.near_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
+def op4_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = raking.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    return mixed.select("doc_id", "source", "lang", "topic", "tokens", "probability", "sampled")
+
+
 def op5_lsa_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document and benchmark item that it holds."""
     marked = lsa_decontam.with_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return marked.select("doc_id", F.inline("contamination"))
 
 
+def op6_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_forest.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("reject_reasons", ",").alias("reasons"))
@@ -61,7 +70,9 @@ def queries() -> dict:
         "op1_token_ids": op1_token_ids,
         "op2_rule_ensemble": op2_rule_ensemble,
         "op3_partenum": op3_partenum,
+        "op4_raking": op4_raking,
         "op5_lsa_decontam": op5_lsa_decontam,
+        "op6_secret_forest": op6_secret_forest,
         "op7_quality_rules": op7_quality_rules,
         "op8_toxicity": op8_toxicity,
         "op9_url_filter": op9_url_filter,
