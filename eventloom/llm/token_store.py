@@ -18,6 +18,7 @@ than ``doc_id`` and ``text`` are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 
@@ -36,7 +37,7 @@ MAX_PIECES = 4_000_000
 #: A text with a longer piece is encoded whole.
 LONGEST = 200
 #: Bytes of text that are encoded at once.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: A run of Latin letters and one of ASCII punctuation: always two pre-tokens.
 _PARTS = re.compile(r"([ \n\x01])([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-/:-@\[-`{-~]*)")
 _FACTOR = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
@@ -65,6 +66,7 @@ class PieceEncoder:
     """
 
     def __init__(self, tokenizer_path: str, end_id: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; idle threads of the library would spin
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
@@ -122,8 +124,8 @@ class PieceEncoder:
 
     def hashes(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         if len(data) > len(self.factors):
-            self.factors = _powers(_FACTOR, 2 * len(data))
-            self.inverses = _powers(pow(_FACTOR, -1, 1 << 64), 2 * len(data))
+            self.factors = _powers(_FACTOR, len(data) + len(data) // 4)
+            self.inverses = _powers(pow(_FACTOR, -1, 1 << 64), len(data) + len(data) // 4)
         with np.errstate(over="ignore"):
             sums = np.concatenate([np.zeros(1, "uint64"), np.cumsum((data.astype("uint64") + np.uint64(1)) * self.factors[: len(data)])])
             x = (sums[end] - sums[begin]) * self.inverses[begin]
