@@ -175,6 +175,13 @@ class PieceEncoder:
 _encoders: dict[tuple[str, int], PieceEncoder] = {}
 
 
+def encoder_of(tokenizer_path: str, end_id: int) -> PieceEncoder:
+    """The worker's encoder.  A module's function, so that tasks share it: what a nested function names is sent by value."""
+    if (tokenizer_path, end_id) not in _encoders:
+        _encoders[tokenizer_path, end_id] = PieceEncoder(tokenizer_path, end_id)
+    return _encoders[tokenizer_path, end_id]
+
+
 def _slices(texts: pa.Array):
     """(offset, length) of runs of texts of about ``CHUNK`` bytes."""
     at, held = 0, 0
@@ -189,9 +196,7 @@ def _slices(texts: pa.Array):
 
 def _encoder(tokenizer_path: str, end_id: int):
     def encode(batches):
-        if (tokenizer_path, end_id) not in _encoders:
-            _encoders[tokenizer_path, end_id] = PieceEncoder(tokenizer_path, end_id)
-        encoder = _encoders[tokenizer_path, end_id]
+        encoder = encoder_of(tokenizer_path, end_id)
         part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
             for at, n in _slices(batch.column(1)):
