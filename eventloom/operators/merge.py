@@ -16,7 +16,7 @@ FILLED = ("time", "venue", "address", "priceInfo", "rawDescription", "image")
 
 def first_known(column: str, order: str = "seq") -> Column:
     """The first value that isn't null."""
-    return F.min_by(F.col(column), F.col(order)).filter(F.col(column).isNotNull())
+    return F.min_by(F.col(column), F.when(F.col(column).isNotNull(), F.col(order)))
 
 
 def within_run(sightings: DataFrame, key: str, columns: list[str], order: str = "seq") -> DataFrame:

@@ -76,5 +76,5 @@ def norm(expression: str) -> str:
 
 DOCSPAN = f"""docspan AS (
   SELECT doc_id AS id, DATE '1998-01-01' + CAST(doc_id % 60 AS INTEGER) AS s, DATE '1998-01-01' + CAST(doc_id % 60 + doc_id % 9 AS INTEGER) AS e,
-    list_filter(list_distinct(string_split({norm("substring(text, 1, 120)")}, ' ')), w -> length(w) >= 5 AND NOT regexp_full_match(w, '[0-9]+')) AS tokens
+    list_filter(list_distinct(string_split({norm("substring(text, 1, 120)")}, ' ')), lambda w: length(w) >= 5 AND NOT regexp_full_match(w, '[0-9]+')) AS tokens
   FROM documents)"""
