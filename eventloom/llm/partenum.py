@@ -17,7 +17,8 @@ Steps, none of which collects a group in one place or emits all pairs within one
 3. Documents that share a signature are paired with its smallest one only.  Each document's smallest
    such partner is verified on whole texts; the links' components are found.
 4. Buckets that still hold several components get every pair of different components (bounded by
-   size and by a parity sketch, both of which drop no true link), which are verified too.
+   size, by a parity sketch and by how many signatures large sets must share, all of which drop no true
+   link), which are verified too.
 
 So each true link either is verified or joins two documents that others already connect.
 
@@ -103,10 +104,29 @@ def most_differing(high: int, num: int, den: int) -> int:
     return max(s - 2 * -(-num * s // (den + num)) for s in range(max(2, total - den), total + 1))
 
 
+#: From so many differing elements on, bands are dealt more finely than they need.
+MANY = 24
+
+
+def shared(k: int) -> int:
+    """Signatures of parts that aren't empty that similar sets of a finely dealt band share at least."""
+    return max(3, k // 8)
+
+
+def empty_parts(k: int) -> int:
+    """Empty parts of a set that are allowed for in that."""
+    return 3 + k // 16
+
+
 @lru_cache(maxsize=4096)
 def parameters(low: int, high: int, num: int, den: int, budget: int) -> tuple[int, int, int]:
-    """(n1, n2, k2) of a band: signatures of as many elements as possible, for at most max(budget, k + 1) of them."""
+    """(n1, n2, k2) of a band: signatures of as many elements as possible, for at most max(budget, k + 1) of them.
+
+    A band with many differing elements has more partitions than these can spoil, each its own part.
+    """
     k = most_differing(high, num, den)
+    if k >= MANY:
+        return k + shared(k) + empty_parts(k), 1, 0
     best, found = (-1.0, 0), (k + 1, 1, 0)
     for n1 in range(1, k + 2):
         k2 = k // n1
@@ -119,6 +139,11 @@ def parameters(low: int, high: int, num: int, den: int, budget: int) -> tuple[in
     return found
 
 
+def finely_dealt_from(num: int, den: int) -> int:
+    """The smallest size whose band is finely dealt."""
+    return next(low for low, high in bands(num, den, 1 << 20) if most_differing(high, num, den) >= MANY)
+
+
 def signatures(sets: list[np.ndarray], num: int, den: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
     """(index of the set, signature) of all signatures of ``sets``."""
     sizes = np.array([len(s) for s in sets], "int64")
@@ -140,6 +165,13 @@ def signatures(sets: list[np.ndarray], num: int, den: int, budget: int) -> tuple
         with np.errstate(over="ignore"):
             sums = sums + (np.bincount(cells, (values >> np.uint64(32)).astype("float64"), n).astype("uint64") << np.uint64(32))
             sums = sums.reshape(len(who), n1, n2)
+            if k2 == 0 and n2 == 1 and most_differing(high, num, den) >= MANY:
+                empty = (np.bincount(cells, minlength=n) == 0).reshape(len(who), n1)
+                kept = ~empty | (empty.sum(1) > empty_parts(most_differing(high, num, den)))[:, None]
+                place = mix(np.arange(n1, dtype="uint64") + np.uint64(tag << 40), 5)
+                out.append(mix(sums[:, :, 0] + place)[kept])
+                at.append(np.repeat(who, kept.sum(1)))
+                continue
             for j, subset in enumerate(combinations(range(n2), n2 - k2)):
                 place = mix(np.arange(n1, dtype="uint64") + np.uint64(tag << 40) + np.uint64(j << 20), 5)
                 out.append(mix(sums[:, :, list(subset)].sum(2, dtype="uint64") + place).ravel())
@@ -312,7 +344,7 @@ def _release(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
-def near_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, budget: int = 24) -> DataFrame:
+def near_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, budget: int = 48) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs(doc_id, text)``; see the module."""
     spark = docs.sparkSession
     small_batches(spark, 1000)
@@ -341,6 +373,8 @@ def near_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
 
     stars = represented(represented(met.where("a <> b").select("a", "b").distinct(), "a"), "b")
     stars = stars.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    alone = represented(represented(met.where("sig is null").groupBy("a", "b").agg(F.count("*").alias("w")), "a"), "b")
+    alone = alone.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").where("a <> b")
     members = represented(met.where("sig is not null").select("sig", F.explode(F.array("a", "b")).alias("doc")).distinct(), "doc").distinct()
 
     def described(df: DataFrame, name: str) -> DataFrame:
@@ -378,15 +412,22 @@ def near_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
         own = found.select(F.col("node").alias(name), F.col("component").alias(f"c_{name}"))
         return df.join(own, name, "left").withColumn(f"c_{name}", F.coalesce(f"c_{name}", name))
 
+    # signatures with the same members tell the same pairs: one of them stands for all, with their number
     placed = in_component(members, "doc")
-    open_sigs = placed.groupBy("sig").agg(F.min("c_doc").alias("x"), F.max("c_doc").alias("y")).where("x <> y").select("sig")
-    still = materialize(described(placed.join(open_sigs, "sig", "left_semi"), "doc"), "shingle-open")
-    x = still.select("sig", *(F.col(c).alias(c.replace("doc", "a")) for c in still.columns if c != "sig"))
-    y = still.select("sig", *(F.col(c).alias(c.replace("doc", "b")) for c in still.columns if c != "sig"))
+    contents = (F.bit_xor(F.xxhash64("doc")).alias("k1"), F.bit_xor(F.xxhash64("doc", F.lit(7))).alias("k2"), F.count("*").alias("n"))
+    by_sig = placed.groupBy("sig").agg(F.min("c_doc").alias("x"), F.max("c_doc").alias("y"), *contents).where("x <> y")
+    open_sigs = by_sig.groupBy("k1", "k2", "n").agg(F.min("sig").alias("sig"), F.count("*").alias("w")).select("sig", "w")
+    still = materialize(described(placed.join(open_sigs, "sig"), "doc"), "shingle-open")
+    x = still.select("sig", "w", *(F.col(c).alias(c.replace("doc", "a")) for c in still.columns if c not in ("sig", "w")))
+    y = still.select("sig", *(F.col(c).alias(c.replace("doc", "b")) for c in still.columns if c not in ("sig", "w")))
     meeting = (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & may_link("a", "b")
-    across = x.alias("x").join(y.alias("y"), (F.col("x.sig") == F.col("y.sig")) & meeting).select("a", "b")
-    apart = in_component(in_component(pairs, "a"), "b").where("c_a <> c_b").select("a", "b")
-    rest = across.union(apart).distinct().join(tried, ["a", "b"], "left_anti")
+    across = x.alias("x").join(y.alias("y"), (F.col("x.sig") == F.col("y.sig")) & meeting).select("a", "b", "w", F.least("n_a", "n_b").alias("n"))
+    apart = described(in_component(in_component(alone, "a"), "b").where("c_a <> c_b"), "a")
+    apart = described(apart, "b").where(may_link("a", "b")).select("a", "b", "w", F.least("n_a", "n_b").alias("n"))
+    # k of the smaller set's band is (den - num) / num of its size, less 2, at least
+    enough = F.when(F.col("n") >= finely_dealt_from(num, den), F.greatest(F.lit(3), F.floor((F.col("n") * (den - num) / num - 2) / 8))).otherwise(1)
+    met_often = across.union(apart).groupBy("a", "b").agg(F.sum("w").alias("w"), F.min("n").alias("n")).where(F.col("w") >= enough)
+    rest = met_often.select("a", "b").join(tried, ["a", "b"], "left_anti")
     more = verified(rest, "shingle-links")
     # components seen so far are links too
     final = materialize(components(more.union(found.select("component", "node"))), "shingle-components")
