@@ -48,7 +48,7 @@ def candidates(docs: DataFrame, min_chars: int = 10) -> DataFrame:
         ),
     )
     rows = maybe.select("doc_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("f")).select("doc_id", "f.*")
-    value = F.regexp_extract("word", rf"[\"'(]*(?:[A-Za-z_]{{2,}}[=:])?[\"']?([A-Za-z0-9+/_.=-]{{{min_chars},}}?)[\"',;.)]*$", 1)
+    value = F.regexp_extract("word", rf"[\"'(]*(?:[A-Za-z_]{{2,}}[=:])?[\"']?([A-Za-z0-9+/_.=-]{{{min_chars},}}?)[\"',;.)#*$%&|!?<>]*$", 1)
     rows = rows.select("doc_id", "word_at", "word", value.alias("value"), F.concat_ws(" ", "before", F.regexp_extract("word", r"^[\"'(]*([A-Za-z_]{2,}[=:])", 1)).alias("before"))
     return rows.where((F.col("value") != "") & F.col("value").rlike("[0-9]"))
 

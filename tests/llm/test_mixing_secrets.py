@@ -1,0 +1,119 @@
+"""Raking against a plain loop, the secret scan against planted secrets, edge rows."""
+
+import hashlib
+import random
+from collections import defaultdict
+
+import pytest
+
+from eventloom.llm import queries, raking, secret_forest
+
+COLUMNS = "doc_id long, text string, source string, lang string"
+
+
+def brute_rake(cells, targets, sweeps=400):
+    weight = {c: float(t) for c, t in cells.items()}
+    total = sum(weight.values())
+    for _ in range(sweeps):
+        for d in range(3):
+            sums = defaultdict(float)
+            for c, w in weight.items():
+                sums[c[d]] += w
+            weight = {c: w * targets[d][c[d]] * total / sums[c[d]] if sums[c[d]] else 0.0 for c, w in weight.items()}
+    return weight
+
+
+def flattened(cells, d, power):
+    sums = defaultdict(float)
+    for c, t in cells.items():
+        sums[c[d]] += t
+    raw = {v: (t / sum(sums.values())) ** power for v, t in sums.items() if t}
+    return {v: raw.get(v, 0.0) / sum(raw.values()) for v in sums}
+
+
+def test_query_matches_a_plain_loop(spark):
+    rows = queries.op4_raking(spark, "/root/testdata/sf0.01").collect()
+    cells = defaultdict(int)
+    for r in rows:
+        cells[r.source, r.lang, r.topic] += r.tokens
+    targets = [flattened(cells, d, raking.EXPONENTS[n]) for d, n in enumerate(raking.DIMENSIONS)]
+    weight = brute_rake(cells, targets)
+    ratio = {c: weight[c] / t for c, t in cells.items() if t}
+    most = max(ratio.values())
+    assert all(r.probability == pytest.approx(ratio[r.source, r.lang, r.topic] / most, rel=1e-3) for r in rows if r.tokens)
+    for d, n in enumerate(raking.DIMENSIONS):
+        expected = defaultdict(float)
+        for r in rows:
+            expected[getattr(r, n)] += r.tokens * r.probability
+        total = sum(expected.values())
+        assert all(expected[v] / total == pytest.approx(targets[d][v], abs=1e-4) for v in expected)
+    share = sum(r.sampled for r in rows) / len(rows)
+    assert abs(share - sum(r.probability for r in rows) / len(rows)) < 0.06
+
+
+def test_given_targets_hold_in_the_sample(spark):
+    draw = random.Random(4)
+    rows = [(i, "w " * draw.randint(5, 15), draw.choice("abc"), draw.choice(["en", "de"])) for i in range(6000)]
+    out = raking.mix(spark.createDataFrame(rows, COLUMNS), {"source": {"a": 0.6, "b": 0.3, "c": 0.1, "gone": 9.0 - 8.0}, "lang": {"en": 0.5, "de": 0.5}}).where("sampled").collect()
+    total = sum(r.tokens for r in out)
+    for value, share in (("a", 0.6), ("b", 0.3), ("c", 0.1)):
+        assert sum(r.tokens for r in out if r.source == value) / total == pytest.approx(share, abs=0.03)
+    again = raking.mix(spark.createDataFrame(rows, COLUMNS).repartition(3), {"source": {"a": 0.6, "b": 0.3, "c": 0.1}, "lang": {"en": 0.5, "de": 0.5}}).where("sampled").collect()
+    assert {r.doc_id for r in out} == {r.doc_id for r in again}
+
+
+def test_mixing_edge_rows(spark):
+    docs = spark.createDataFrame([(1, None, None, None, "x"), (2, "", "a", "en", "x"), (3, "a b", "a", None, "x"), (3, "a b", "a", None, "x"), (None, "word " * 60_000, "b", "en", "x")], COLUMNS + ", topic string")
+    out = raking.mix(docs).collect()
+    assert len(out) == 5 and all(0 <= r.probability <= 1 for r in out)
+    assert {r.tokens for r in out} == {0, 2, 60_000}
+    assert len({r.sampled for r in out if r.doc_id == 3}) == 1
+    assert raking.mix(docs.limit(0)).count() == 0
+    assert all(r.probability == 1 for r in raking.mix(docs.where("doc_id < 3")).collect())
+
+
+def planted(n=400):
+    draw = random.Random(8)
+    docs, secrets = [], set()
+    for i in range(n):
+        filler = lambda: " ".join("".join(draw.choices("abcdefgh", k=6)) for _ in range(12))
+        hexes = "".join(draw.choices("0123456789abcdef", k=40))
+        kind = i % 6
+        if kind == 0:
+            word, value = f'token = "{hexes}"', hexes
+        elif kind == 1:
+            value = word = "AKIA" + "".join(draw.choices("ABCDEFGHJKLMNPQRSTUVWXYZ234567", k=16))
+        elif kind == 2:
+            word, value = f"password={hexes[:18]}1a", hexes[:18] + "1a"
+        else:
+            word, value = ["4990108715159781", "/usr/share/page12/index34.html", "user.name99@mail.example"][kind - 3], None
+        docs.append((i, f"{filler()} {word} {filler()}", "h"))
+        if value:
+            secrets.add((i, hashlib.sha256(value.encode()).hexdigest()))
+    return docs, secrets
+
+
+def test_planted_secrets_are_found_and_look_alikes_are_not(spark):
+    docs, secrets = planted()
+    out = secret_forest.scan_secrets(spark.createDataFrame(docs, "doc_id long, text string, score string")).collect()
+    got = {(r.doc_id, r.value_sha256) for r in out if r.is_secret}
+    assert len(got & secrets) >= 0.98 * len(secrets)
+    assert len(got - secrets) <= 0.02 * len(secrets)
+
+
+def test_secret_query_reports_every_key(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r.doc_id for r in queries.op6_secret_forest(spark, sf).collect() if r.is_secret}
+    plain = {i for i, t in docs.items() if "AKIA" in t or "password=" in t or "token = " in t}
+    assert plain and len(plain - got) <= 0.1 * len(plain) and len(got - plain) <= 3
+
+
+def test_secret_labels_and_edge_rows(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "abc12345678 x"), (3, "abc12345678 x"), (None, "k " * 50_000 + "zzz999888777")], "doc_id long, text string")
+    out = secret_forest.scan_secrets(docs).collect()
+    assert sorted((str(r.doc_id), r.score, r.is_secret) for r in out) == [("3", 0.5, True), ("3", 0.5, True), ("None", 0.5, True)]
+    assert secret_forest.scan_secrets(docs.limit(0)).count() == 0
+    labels = spark.createDataFrame([("abc12345678", 1), ("zzz999888777", 0), (None, 1)], "value string, label int")
+    out = secret_forest.scan_secrets(docs, labels).collect()
+    assert {str(r.doc_id): r.is_secret for r in out} == {"3": True, "None": False}
