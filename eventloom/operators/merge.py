@@ -64,7 +64,7 @@ def upsert(stored: DataFrame, incoming: DataFrame, key: str = "id", filled: tupl
     changed = F.lit(False)
     for c in watched:
         if c == "altLinks":
-            changed = changed | ~out[c].eqNullSafe(F.coalesce(F.col(c), F.array().cast(LINKS)))
+            changed = changed | (F.coalesce(out[c], F.array().cast(LINKS)) != F.coalesce(F.col(c), F.array().cast(LINKS)))
         else:
             changed = changed | ~out[c].eqNullSafe(F.col(c))
     merged = both.select(key, *(out.get(c, F.col(c)).alias(c) for c in stored.columns if c != key), changed.alias("changed"))
