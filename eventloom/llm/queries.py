@@ -81,4 +81,12 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express a whole query; the tests hold the others against plain Python."""
+    return {
+        "op10_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+              g AS (SELECT h, min(page_id) AS first_id FROM p WHERE strlen(h) >= 100 GROUP BY 1)
+            SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest,
+              CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+              CASE WHEN page_id > first_id THEN first_id END AS refers_to
+            FROM p LEFT JOIN g USING (h)""",
+    }
