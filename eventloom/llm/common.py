@@ -53,3 +53,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fold(doc_id, folds: int):
     """crc32 of the id's text modulo ``folds``: the hold-out split of the labelled tables."""
     return F.crc32(doc_id.cast("string")) % folds
+
+
+def bounded_sample(df: DataFrame, most: int, *keys) -> DataFrame:
+    """The ``most`` rows with the smallest hash of ``keys``; ties in order of the keys.
+
+    The rows are counted first, and those whose hash can't be among the smallest are left out where they
+    are, so what meets in one place grows with ``most`` and not with the table or its partitions.
+    """
+    place = F.shiftrightunsigned(F.xxhash64(*keys), 11)
+    n = df.count()
+    if n > most:
+        df = df.where(place < F.lit(int((1 << 53) * min(1.0, 1.2 * (most + 50) / n))))
+    return df.orderBy(place, *keys).limit(most)

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import fold, materialize
+from eventloom.llm.common import bounded_sample, fold, materialize
 from eventloom.llm.textstats import RATIOS, base_stats, with_ratios
 
 FEATURES = (*RATIOS, "n_words", "n_lines")
@@ -144,7 +144,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold:
     stats = with_ratios(materialize(base_stats(docs, "doc_id"), "rule-stats")).withColumn("held_out", held)
     known = labels.where("quality is not null").select("doc_id", F.col("quality").cast("double").alias("_y"))
     train = stats.where("not held_out").join(known, "doc_id")
-    sample = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select(*(F.col(f).cast("double") for f in FEATURES), "_y").toPandas()
+    sample = bounded_sample(train, max_rows, F.col("doc_id"), F.col("_y")).select(*(F.col(f).cast("double") for f in FEATURES), "_y").toPandas()
     x, y = sample[list(FEATURES)].to_numpy(), sample["_y"].to_numpy()
     model = fit_rules(x, y, FEATURES, **fit)
     scored = stats.withColumn("score", model.score())

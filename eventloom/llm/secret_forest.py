@@ -23,7 +23,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import WORD_SEP, materialize
+from eventloom.llm.common import WORD_SEP, bounded_sample, materialize
 
 #: Shapes of providers' keys, and names that credentials are assigned to.
 KNOWN_KEYS = r"^(AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10,}\..*)$"
@@ -98,7 +98,7 @@ def scan_secrets(
         known = found.withColumn("label", reviewed())
     else:
         known = found.join(labels.select("value", F.col("label").cast("double")).dropDuplicates(["value"]), "value", "left")
-    sample = known.where("label is not null").orderBy(F.xxhash64("value", "before"), "value", "before").limit(max_rows)
+    sample = bounded_sample(known.where("label is not null"), max_rows, F.col("doc_id"), F.col("word_at"), F.col("value"))
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="_features")
     sample = materialize(sample.select("label", *FEATURES), "secret-sample")
     kinds = [r.label for r in sample.select("label").distinct().collect()]

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import fold, materialize, small_batches
+from eventloom.llm.common import bounded_sample, fold, materialize, small_batches
 
 #: Insults that hold without labels.
 SEED_TERMS = ("idiot", "moron", "stupid", "loser", "scum", "pathetic", "worthless", "disgusting")
@@ -248,8 +248,8 @@ def hits(docs: DataFrame, terms: list) -> DataFrame:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int, held_fold: int, max_rows: int, max_terms: int) -> tuple[list, np.ndarray]:
     """(terms, weights) from labelled rows of the training folds."""
     known = labels.where(F.col("toxic").isNotNull() & (fold(F.col("doc_id"), folds) != held_fold))
-    order = F.xxhash64(F.col("doc_id"), F.lit("toxicity"))
-    sample = known.orderBy(order, "doc_id", "toxic").limit(max_rows).select("doc_id", F.col("toxic").cast("int").alias("_y"), F.pmod(order, F.lit(2)).alias("_half"))
+    half = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxicity")), F.lit(2))
+    sample = bounded_sample(known.select("doc_id", "toxic"), max_rows, F.col("doc_id"), F.col("toxic")).select("doc_id", F.col("toxic").cast("int").alias("_y"), half.alias("_half"))
     # max_rows rows of three numbers at most
     sample = materialize(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), "toxicity-sample")
     sizes = {(r["_half"], r["_y"]): r["n"] for r in sample.groupBy("_half", "_y").agg(F.count("*").alias("n")).collect()}
