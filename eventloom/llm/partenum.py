@@ -45,9 +45,9 @@ from eventloom.llm.common import materialize, small_batches
 from eventloom.llm.graph import components
 
 SKETCH = 8  # longs of parity bits
-MAX_WORDS = 400_000
+MAX_WORDS = 250_000
 #: Elements, or signatures, that a task holds before it flushes.
-FLUSH = 1_200_000
+FLUSH = 600_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

@@ -33,7 +33,7 @@ from eventloom.llm.common import small_batches
 
 STORE_SCHEMA = "part int, part_start long, doc_id long, token_ids array<int>"
 #: Pieces that a worker remembers before it starts again; about 30 bytes each.
-MAX_PIECES = 4_000_000
+MAX_PIECES = 2_000_000
 #: A text with a longer piece is encoded whole.
 LONGEST = 200
 #: Bytes of text that are encoded at once.
