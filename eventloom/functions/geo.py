@@ -28,13 +28,13 @@ def distance_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Colum
 
 def nearest(points: DataFrame, centres: DataFrame, key: str, name: str) -> DataFrame:
     """``key`` with the ``name`` of the nearest of ``centres(name, c_lat, c_lng)``, a constant small table."""
-    array = centres.agg(F.sort_array(F.collect_list(F.struct(name, "c_lat", "c_lng"))).alias("_centres"))
+    array = centres.agg(F.sort_array(F.collect_list(F.struct(name, "c_lat", "c_lng")))).scalar()
+    # the centres are one value, a subquery that is run once: no pairs are made
     scored = F.transform(
         "_centres",
         lambda c: F.struct((F.pow(F.col("lat") - c["c_lat"], 2) + F.pow((F.col("lng") - c["c_lng"]) * LONGITUDE_SHARE, 2)).alias("d2"), c[name].alias(name)),
     )
-    # one row: the centres ride along as an array, so no pairs are made
-    return points.join(F.broadcast(array)).select(key, F.array_min(scored)[name].alias(name))
+    return points.withColumn("_centres", array).select(key, F.array_min(scored)[name].alias(name))
 
 
 def with_city(df: DataFrame, dim: DataFrame, province: str) -> DataFrame:
