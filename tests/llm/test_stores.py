@@ -1,6 +1,8 @@
 """Token store, WARC archives and URL filter against plain Python."""
 
 import hashlib
+import math
+import random
 import re
 import struct
 import zlib
@@ -156,3 +158,47 @@ def test_url_model_is_a_probability():
 
 def test_url_filter_empty_table(spark):
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def exact_scores(urls, order=4, strength=3.0):
+    """Scores by plain dictionaries of contexts as byte strings."""
+    rows, counts = {}, {}
+    for u in set(urls):
+        host, path = re.match(r"[a-z]+://([^/?#]*)([^?#]*)", u).groups()
+        rows[u] = re.sub("[0-9]", "0", host + path.lower()), bool(re.search("|".join(url_filter.REJECTED_TERMS), host)), zlib.crc32((host + path).encode()) % 5 == 0
+
+    def grams(text):
+        raw = b"\x02" + text.encode() + b"\x03"
+        return [[(raw[max(0, i - k) : i], raw[i]) for k in range(order + 1)] for i in range(len(raw))]
+
+    for u in urls:
+        text, bad, held = rows[u]
+        for position in [] if held else grams(text):
+            for k, (context, byte) in enumerate(position):
+                for key in ((bad, k, context), (bad, k, context, byte)):
+                    counts[key] = counts.get(key, 0) + 1
+
+    def log_p(bad, position):
+        p = 1 / 256
+        for k, (context, byte) in enumerate(position):
+            p = (counts.get((bad, k, context, byte), 0) + strength * p) / (counts.get((bad, k, context), 0) + strength)
+        return math.log(p)
+
+    return {u: sum(log_p(False, g) - log_p(True, g) for g in found) / len(found) for u, (text, *_) in rows.items() for found in [grams(text)]}
+
+
+def test_url_scores_are_those_of_exact_counts_on_varied_urls(spark):
+    draw = random.Random(4)
+    name = lambda n: "".join(draw.choices("abcdefghijklmnopqrstuvwxyz-_", k=n))
+    urls = [f"http://{name(6)}{draw.choice(['', '', '', 'casino', 'poker'])}.{name(3)}/{name(18)}/{draw.randrange(99)}/{name(18)}" for _ in range(4000)]
+    urls += urls[:50]
+    expected = exact_scores(urls)
+    got = url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    assert sorted(r.page_id for r in got) == list(range(len(urls)))
+    assert all(abs(r.score - expected[urls[r.page_id]]) < 1e-9 for r in got)
+    free = sorted(expected[u] for u in urls if zlib.crc32(u.split("://")[1].encode()) % 5 == 0 and not re.search("casino|poker", u.split("/")[2]))
+    assert sum(s < 0 for s in free) > 0.005 * len(free)  # so the cutoff is a quantile of these
+    got = [r for r in got if r.rule is None]
+    blocked = [expected[urls[r.page_id]] for r in got if r.verdict == "block"]
+    assert blocked and max(blocked) < min(expected[urls[r.page_id]] for r in got if r.verdict == "allow") + 1e-9
+    assert 0.005 * len(free) - 2 <= sum(s <= max(blocked) for s in free) <= 0.005 * len(free) + 1
