@@ -4,14 +4,16 @@ A weighted lexicon of words and stems is learned from one half of a sample of la
 words' Levenshtein automata are intersected with its trie at once: a state is a set of (trie node,
 edits so far), states and transitions are made when first met and then remembered, so a word costs a
 dictionary look-up per letter.  Words of five letters or more may have one edit, of nine or more two;
-stems match exactly at the start of a word.  Digits that stand for letters are read as those.
+stems match exactly at the start of a word, and the words they were learned from stay beside them with
+their edits.  A term of four letters may have one edit where its entry says so, as those of the lexicon
+that is fitted do: a word that the sample's clean texts have is then no misspelling.  Digits that stand for letters are read as those.
 
 Each hit is weighed in a window of ``window`` words: inside quotation marks, or beside a reporting word,
 it counts as a quotation; beside a second-person word as an address.  A logistic model over the sums of
 weights, fitted on the sample's other half, gives the score.
 
 The sample is at most ``max_rows`` labelled rows of the training folds, by smallest hash of the id; the
-lexicon has at most ``max_terms`` terms.  Scoring runs over all rows and whole texts.
+lexicon has at most ``max_terms`` terms, and as many words of its stems.  Scoring runs over all rows and whole texts.
 
 Edge cases: null or empty text has no hits and gets the score of that; null labels aren't used; without
 training rows the seed terms and fixed weights stand; repeated rows score alike; extra columns are
@@ -48,17 +50,21 @@ MAX_WORDS = 300_000
 
 
 class LexiconAutomaton(dict):
-    """Maps a word to (weight, edits) of the closest term, or None.  ``terms``: (text, is a stem, weight)."""
+    """Maps a word to (weight, edits) of the closest term, or None.
 
-    def __init__(self, terms: list[tuple[str, bool, float]]):
+    ``terms``: (text, is a stem, weight), or with the edits it allows.  ``real``: words that are matched without edits only.
+    """
+
+    def __init__(self, terms: list[tuple], real: frozenset[str] = frozenset()):
         super().__init__()
+        self.real = real
         self.children: list[dict[str, int]] = [{}]
         self.word_end: dict[int, float] = {}
         self.stem_end: dict[int, float] = {}
         self.edits = [0]  # most edits that any word below allows
         self.allowed: dict[int, int] = {}
-        for text, stem, weight in terms:
-            node, may = 0, 0 if stem else (len(text) >= 5) + (len(text) >= 9)
+        for text, stem, weight, *most in terms:
+            node, may = 0, most[0] if most else 0 if stem else (len(text) >= 5) + (len(text) >= 9)
             self.edits[0] = max(self.edits[0], may)
             for c in text:
                 if c not in self.children[node]:
@@ -136,7 +142,10 @@ class LexiconAutomaton(dict):
             self.clear()
         if len(self.moves) > MAX_WORDS:
             self.moves.clear()
-        found = self[word] = self.match(word)
+        found = self.match(word)
+        if found and found[1] and word in self.real:
+            found = None
+        self[word] = found
         return found
 
 
@@ -191,11 +200,15 @@ def _count_terms(batches):
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([toxic[t] for t in some], pa.int64()), pa.array([clean[t] for t in some], pa.int64())], ["term", "t", "c"])
 
 
+def term_weight(t: int, c: int, n_toxic: int, n_clean: int) -> float:
+    return math.log((t + 0.5) / (n_toxic + 1)) - math.log((c + 0.5) / (n_clean + 1))
+
+
 def choose_terms(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int, max_terms: int, least: int = 4) -> list[tuple[str, bool, float]]:
     """The lexicon from (term, toxic texts, clean texts): words and stems that are far likelier in toxic texts."""
 
     def weight(t, c):
-        return math.log((t + 0.5) / (n_toxic + 1)) - math.log((c + 0.5) / (n_clean + 1))
+        return term_weight(t, c, n_toxic, n_clean)
 
     good = [(t, n, c) for t, n, c in counts if n >= least and 20 * c <= n]
     stems: set[str] = set()
@@ -214,6 +227,14 @@ def choose_terms(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int,
     return [(t, stem, min(6.0, w)) for t, stem, w, _ in out[:max_terms]]
 
 
+def family_terms(counts: list[tuple[str, int, int]], terms: list[tuple], n_toxic: int, n_clean: int, max_terms: int) -> list[tuple[str, bool, float]]:
+    """Whole words that a stem of ``terms`` stands for; they have edits, which stems lack."""
+    stems = tuple(t for t, stem, _ in terms if stem)
+    words = [x for x in counts if not x[0].endswith("*") and x[0].startswith(stems)] if stems else []
+    whole = [x for x in words if x[1] >= 4 and 20 * x[2] <= x[1]]
+    return [(t, False, min(6.0, term_weight(n, c, n_toxic, n_clean))) for t, n, c in sorted(whole, key=lambda x: (-x[1], x[0]))[:max_terms]]
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     """Intercept and weights by Newton's method with a ridge penalty."""
     z = np.hstack([np.ones((len(x), 1)), x])
@@ -228,9 +249,21 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarra
     return w
 
 
-def _features(terms):
+def with_short_edits(terms: list[tuple]) -> list[tuple]:
+    """``terms`` where words of four letters allow one edit."""
+    return [(*t, 1) if len(t[0]) == 4 and not t[1] else t for t in terms]
+
+
+def near_short_terms(words, terms: list[tuple]) -> frozenset[str]:
+    """Those of ``words`` that are a term of four letters but for one edit."""
+    short = LexiconAutomaton([t for t in with_short_edits(terms) if len(t) > 3])
+    longer = LexiconAutomaton([t for t in terms if len(t[0]) > 4])
+    return frozenset(w for w in words if 3 <= len(w) <= 5 and short[w] and short[w][1] and not longer[w])
+
+
+def _features(terms, real=frozenset()):
     def run(batches):
-        automaton = LexiconAutomaton(terms)
+        automaton = LexiconAutomaton(with_short_edits(terms), real)
         for batch in batches:
             rows = [hit_features(t or "", automaton) for t in batch.column(1).to_pylist()]
             columns = zip(*rows) if rows else [[]] * N_FEATURES
@@ -239,14 +272,14 @@ def _features(terms):
     return run
 
 
-def hits(docs: DataFrame, terms: list) -> DataFrame:
+def hits(docs: DataFrame, terms: list, real: frozenset = frozenset()) -> DataFrame:
     small_batches(docs.sparkSession)
     schema = "doc_id long, " + ", ".join(f"f{i} double" for i in range(N_FEATURES))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_features(terms), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_features(terms, real), schema)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int, held_fold: int, max_rows: int, max_terms: int) -> tuple[list, np.ndarray]:
-    """(terms, weights) from labelled rows of the training folds."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int, held_fold: int, max_rows: int, max_terms: int) -> tuple[list, frozenset, np.ndarray]:
+    """(terms, real words beside short ones, weights) from labelled rows of the training folds."""
     known = labels.where(F.col("toxic").isNotNull() & (fold(F.col("doc_id"), folds) != held_fold))
     half = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxicity")), F.lit(2))
     sample = bounded_sample(known.select("doc_id", "toxic"), max_rows, F.col("doc_id"), F.col("toxic")).select("doc_id", F.col("toxic").cast("int").alias("_y"), half.alias("_half"))
@@ -255,27 +288,32 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int, held_fold: int,
     sizes = {(r["_half"], r["_y"]): r["n"] for r in sample.groupBy("_half", "_y").agg(F.count("*").alias("n")).collect()}
     small_batches(docs.sparkSession)
     counted = sample.where("_half = 0").select("text", "_y").mapInArrow(_count_terms, "term string, t long, c long")
-    counted = counted.groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where("t >= 4 and 20 * c <= t")
+    counted = materialize(counted.groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c")), "toxicity-terms")
     # terms of the sample only, whose rows are bounded
-    terms = choose_terms([tuple(r) for r in counted.collect()], sizes.get((0, 1), 0), sizes.get((0, 0), 0), max_terms)
-    have = {t for t, _, _ in terms}
+    counts, n_toxic, n_clean = [tuple(r) for r in counted.where("t >= 4 and 20 * c <= t").collect()], sizes.get((0, 1), 0), sizes.get((0, 0), 0)
+    terms = choose_terms(counts, n_toxic, n_clean, max_terms)
+    terms += family_terms(counts, terms, n_toxic, n_clean, max_terms)
+    have = {t for t, stem, _ in terms if not stem}
     terms += [(t, False, SEED_WEIGHT) for t in SEED_TERMS if t not in have]
-    rows = hits(sample.where("_half = 1").select(F.col("_y").cast("long").alias("doc_id"), "text"), terms).toPandas()
+    # words of three to five letters, of the sample only
+    short = counted.where("c > 0 and 20 * c > t and length(term) between 3 and 5 and not endswith(term, '*')").select("term")
+    real = near_short_terms((r.term for r in short.toLocalIterator()), terms)
+    rows = hits(sample.where("_half = 1").select(F.col("_y").cast("long").alias("doc_id"), "text"), terms, real).toPandas()
     x, y = rows[[f"f{i}" for i in range(N_FEATURES)]].to_numpy("float64"), rows["doc_id"].to_numpy("float64")
     # two rows that stand for what is known without labels: a text without hits is clean, one with an insult isn't
     prior = np.zeros((2, N_FEATURES))
     prior[1, 0], prior[1, 4] = math.log1p(SEED_WEIGHT), 0.5
-    return terms, fit_logistic(np.vstack([x, prior]), np.append(y, [0.0, 1.0]))
+    return terms, real, fit_logistic(np.vstack([x, prior]), np.append(y, [0.0, 1.0]))
 
 
 def score_toxicity(
     docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0, cutoff: float = 0.5, max_rows: int = 20_000, max_terms: int = 2000
 ) -> DataFrame:
     """``doc_id, held_out, score, predicted`` and the features, for each row of ``docs(doc_id, text)``."""
-    terms, weights = fit_toxicity(docs, labels, folds, held_fold, max_rows, max_terms)
+    terms, real, weights = fit_toxicity(docs, labels, folds, held_fold, max_rows, max_terms)
     z = F.lit(float(weights[0]))
     for i, w in enumerate(weights[1:]):
         z = z + F.col(f"f{i}") * float(w)
-    scored = hits(docs, terms).withColumn("score", 1 / (1 + F.exp(-z)))
+    scored = hits(docs, terms, real).withColumn("score", 1 / (1 + F.exp(-z)))
     held = F.coalesce(fold(F.col("doc_id"), folds) == held_fold, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= cutoff).cast("int").alias("predicted"), *(f"f{i}" for i in range(N_FEATURES)))

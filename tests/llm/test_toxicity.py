@@ -97,3 +97,22 @@ def test_logistic_survives_few_rows(rows):
     import numpy as np
 
     assert np.isfinite(toxicity.fit_logistic(np.ones((rows, 2)), np.ones(rows))).all()
+
+
+def test_misspellings_inside_a_stem_and_of_short_terms_are_found():
+    counts = [("tras*", 40, 0), ("trash", 12, 0), ("trashy", 11, 0), ("trashed", 10, 0), ("trashing", 7, 0), ("scum", 9, 0)]
+    terms = toxicity.choose_terms(counts, 100, 900, 10)
+    terms += toxicity.family_terms(counts, terms, 100, 900, 10)
+    assert {(t, stem) for t, stem, _ in terms} >= {("tras", True), ("trash", False), ("trashing", False), ("scum", False)}
+    real = toxicity.near_short_terms({"slum", "tree"}, terms)
+    assert real == {"slum"}
+    automaton = toxicity.LexiconAutomaton(toxicity.with_short_edits(terms), real)
+    for word in ("trqsh", "trsh", "trqshy", "tashed", "trqshing", "scuum", "scm", "skum"):
+        assert automaton[word] and automaton[word][1] == 1, word
+    assert automaton["trasher"][1] == automaton["scum"][1] == 0 and automaton["slum"] is None and automaton["tree"] is None
+
+
+def test_misspelled_seed_terms_raise_the_score(spark):
+    docs = spark.createDataFrame([(1, "what a scum indeed"), (2, "what a skum indeed"), (3, "what a plain thing")], "doc_id long, text string")
+    out = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int, quality int")).collect()}
+    assert out[1] > out[3] and out[2] != out[3]
