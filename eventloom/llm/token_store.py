@@ -9,7 +9,7 @@ token stream: its start is the total of all earlier parts plus ``part_start``.
 Encoding is by the tokenizers library.  Texts repeat words, so each worker remembers the ids of a
 bounded number of pieces already encoded, in a sorted table that a whole chunk of texts is looked up in; a text is cut only where the byte-level pre-tokenizer always cuts (before a
 space or newline that is followed by a character which isn't white space), so the pieces' ids joined
-are the ids of the whole text.  Texts with longer runs of white space are encoded whole.
+are the ids of the whole text.  Texts with other white space than single spaces and newlines between words are encoded whole.
 
 Edge cases: null text is an empty one (only the end id); null ids sort first; rows with equal ids are
 all kept, ordered by a hash of their text; an empty table gives a readable empty store; columns other
@@ -57,6 +57,13 @@ def _powers(base: int, n: int) -> np.ndarray:
         return np.multiply.accumulate(out)
 
 
+def is_regular(text: str) -> bool:
+    """Whether all white space of a text is single spaces and newlines between words."""
+    words = text.split()
+    gaps = len(words) - 1
+    return gaps >= 0 and sum(map(len, words)) + gaps == len(text) and text.count(" ") + text.count("\n") == gaps and "\x01" not in text
+
+
 class PieceEncoder:
     """Ids of whole texts from a sorted table of pieces seen before.
 
@@ -134,7 +141,7 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with the end id; number of ids of each)."""
-        regular = [k for k, t in enumerate(texts) if t and len(t.split()) == t.count(" ") + t.count("\n") + 1 and "\x01" not in t]
+        regular = [k for k, t in enumerate(texts) if is_regular(t)]
         raw = ["\x01" + texts[k] for k in regular]
         data = np.frombuffer("".join(raw).encode(), "uint8")
         begin = np.flatnonzero((data == 32) | (data == 10) | (data == 1))

@@ -202,3 +202,11 @@ def test_url_scores_are_those_of_exact_counts_on_varied_urls(spark):
     blocked = [expected[urls[r.page_id]] for r in got if r.verdict == "block"]
     assert blocked and max(blocked) < min(expected[urls[r.page_id]] for r in got if r.verdict == "allow") + 1e-9
     assert 0.005 * len(free) - 2 <= sum(s <= max(blocked) for s in free) <= 0.005 * len(free) + 1
+
+
+@pytest.mark.parametrize("text", ["a\n\n\nb\tc\td", "x\n\n\n\ny\tz\tw\tv", "a  b\tc", "a\u00a0b\n\nc", "a\r\n b\tc", "\n\na\tb\tc", "a\tb\tc\n\n", "a b\nc", " ", ""])
+def test_balanced_white_space_is_encoded_as_the_whole_text(text):
+    encoder = token_store.PieceEncoder(queries.tokenizer_path(), 2)
+    ids, sizes = encoder.encode([text, "plain words", text])
+    assert ids.tolist() == [*encoder.whole(text), 2, *encoder.whole("plain words"), 2, *encoder.whole(text), 2]
+    assert sizes.tolist() == [len(encoder.whole(text)) + 1, len(encoder.whole("plain words")) + 1, len(encoder.whole(text)) + 1]
