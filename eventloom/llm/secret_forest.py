@@ -1,7 +1,8 @@
 """Operator 6, secret scan: candidates, then a random forest that removes false positives.  Native: JVM only.
 
-Candidates are words with ``min_chars`` or more characters that could be a credential: letters, digits and
-``+/_.-=`` with a digit among them, quotes and a ``name=`` before them taken off.  Each has features of its
+Candidates are all longest runs of letters, digits and ``+/_.-`` (and ``=`` behind them) whatever stands around
+them, several in a word if need be: those of ``min_chars`` or more characters with a digit, known shapes, and, where
+a credential's name and ``=`` or ``:`` or an address's user stand before them, those of any length.  Each has features of its
 length, character classes and their transitions, distinct characters, dictionary coverage, path signs, and
 of the words before it.  Spark ML's random forest is trained on labelled findings and scores them all.
 
@@ -28,6 +29,12 @@ from eventloom.llm.common import WORD_SEP, bounded_sample, materialize
 #: Shapes of providers' keys, and names that credentials are assigned to.
 KNOWN_KEYS = r"^(AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10,}\..*)$"
 CREDENTIAL_NAMES = "passwd|password|pwd|secret|token|api_key|apikey|access_key|auth|credential"
+#: What may stand between a name's ``=`` or ``:`` and its value, and a name that a value follows.
+_OPENING = r"[\"'`(\[{<\s]*"
+_NAMED = rf"(?i)({CREDENTIAL_NAMES})[\"'`\])]*\s*[=:]+>?{_OPENING}$"
+_KEY_STARTS = "AKIA|ASIA|gh[pousr]_|sk_live_|xox[abprs]-|AIza|eyJ"
+#: What stands before a run, and the run; ``=`` is of it only where nothing of another follows.
+_RUNS = r"([^A-Za-z0-9+/_.-]*)([A-Za-z0-9+/_.-]+(?:=+(?![A-Za-z0-9+/_.=-]))?)"
 #: Common words and word parts of the corpus languages.
 DICTIONARY = (
     "tion ment heit keit lich schaft ungen ung ing ed ly er es the and that with from this have are was were not you for "
@@ -37,20 +44,37 @@ FEATURES = ("chars", "digit_share", "upper_share", "lower_share", "other_share",
 
 
 def candidates(docs: DataFrame, min_chars: int = 10) -> DataFrame:
-    """``doc_id, word_at, value, before`` of each candidate; ``before`` is its name and the two words before."""
+    """``doc_id, word_at, word, value, before, of_user`` of each candidate; ``before`` is what its word has before it, behind the two words before."""
     words = F.array_remove(F.split(F.col("text"), WORD_SEP), "")
-    maybe = docs.where(F.col("text").rlike(rf"[A-Za-z0-9+/_.=-]{{{min_chars}}}")).select("doc_id", words.alias("w"))
-    found = F.transform(
-        "w",
-        lambda w, i: F.when(
-            (F.length(w) >= min_chars) & w.rlike("[0-9]"),
-            F.struct(i.alias("word_at"), w.alias("word"), F.concat_ws(" ", F.get(F.col("w"), i - 2), F.get(F.col("w"), i - 1)).alias("before")),
-        ),
-    )
-    rows = maybe.select("doc_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("f")).select("doc_id", "f.*")
-    value = F.regexp_extract("word", rf"[\"'(]*(?:[A-Za-z_]{{2,}}[=:])?[\"']?([A-Za-z0-9+/_.=-]{{{min_chars},}}?)[\"',;.)#*$%&|!?<>]*$", 1)
-    rows = rows.select("doc_id", "word_at", "word", value.alias("value"), F.concat_ws(" ", "before", F.regexp_extract("word", r"^[\"'(]*([A-Za-z_]{2,}[=:])", 1)).alias("before"))
-    return rows.where((F.col("value") != "") & F.col("value").rlike("[0-9]"))
+    long = rf"[A-Za-z0-9+/_.-]{{{min_chars}}}"
+    maybe = docs.where(F.col("text").rlike(rf"{long}|(?i:{CREDENTIAL_NAMES})|://[^/\s]*@")).select("doc_id", words.alias("w"))
+
+    def zipped(**arrays):
+        """Structs of the arrays' elements: each array is made once, not for each element."""
+        return F.arrays_zip(*(array.alias(name) for name, array in arrays.items()))
+
+    none = F.array(F.lit(""))
+    maybe = maybe.select("doc_id", zipped(w=F.col("w"), last=F.concat(none, "w"), second=F.concat(none, none, "w")).alias("z"))
+
+    def candidate(z, i):
+        w, earlier = z["w"], F.concat_ws(" ", z["second"], z["last"])
+        named = z["last"].rlike(rf"[=:]{_OPENING}$") & earlier.rlike(_NAMED)
+        return F.when(
+            w.isNotNull() & ((w.rlike(long) & w.rlike("[0-9]")) | w.rlike(rf"[=:].*[A-Za-z0-9]|{_KEY_STARTS}") | named),
+            F.struct(i.alias("word_at"), w.alias("word"), F.concat(earlier, F.lit(" ")).alias("before")),
+        )
+
+    rows = maybe.select("doc_id", F.explode(F.filter(F.transform("z", candidate), lambda x: x.isNotNull())).alias("f")).select("doc_id", "f.*")
+    gaps, runs = (F.regexp_extract_all("word", F.lit(_RUNS), F.lit(k)) for k in (1, 2))
+    each = zipped(run=runs, gap=gaps, last=F.concat(none, runs), after=F.slice(F.concat(gaps, F.array(F.regexp_extract("word", r"([^A-Za-z0-9+/_.-]*)$", 1))), 2, 1 << 30))
+    rows = rows.select("doc_id", "word_at", "word", "before", F.explode(each).alias("e")).where("e.run is not null")
+    rows = rows.select(
+        "doc_id", "word_at", "word", F.regexp_replace("e.run", r"\.+$", "").alias("value"), F.concat("before", "e.last", "e.gap").alias("before"),
+        # user:value@host
+        (F.col("e.last").startswith("//") & (F.col("e.gap") == ":") & F.coalesce(F.col("e.after").startswith("@"), F.lit(False))).alias("of_user"),
+    )
+    general = (F.length("value") >= min_chars) & F.col("value").rlike("[0-9]")
+    return rows.where((F.col("value") != "") & (general | F.col("value").rlike(KNOWN_KEYS) | F.col("before").rlike(_NAMED) | F.col("of_user")))
 
 
 def _share(kept: str) -> Column:
@@ -75,7 +99,7 @@ def with_features(found: DataFrame) -> DataFrame:
             "slashes": (F.length("value") - F.length(F.translate("value", "/", ""))).cast("double"),
             "dots": (F.length("value") - F.length(F.translate("value", ".", ""))).cast("double"),
             "credential_near": F.lower("before").rlike(CREDENTIAL_NAMES).cast("double"),
-            "assigned": F.col("before").rlike(r"[=:]\s*$").cast("double"),
+            "assigned": F.col("before").rlike(rf"[=:]{_OPENING}$").cast("double"),
             "quoted": F.col("word").rlike("[\"']").cast("double"),
         }
     )
@@ -84,7 +108,7 @@ def with_features(found: DataFrame) -> DataFrame:
 def reviewed() -> Column:
     """Label by the fixed formats; null where they say nothing."""
     value, before = F.col("value"), F.lower("before")
-    assigned = before.rlike(rf"({CREDENTIAL_NAMES})\s*[=:]\s*$")
+    assigned = before.rlike(_NAMED) | F.col("of_user")
     harmless = value.rlike(r"^[0-9+().-]+$") | F.col("word").contains("@") | value.rlike(r"^(https?:|www\.|/)") | value.rlike(r"\.(com|net|org|html?)\b") | value.rlike("^[A-Za-z]+[.,]*[0-9]{1,3}$")
     return F.when(value.rlike(KNOWN_KEYS), 1.0).when(assigned & value.rlike("[A-Za-z]"), 1.0).when(harmless, 0.0)
 
