@@ -13,14 +13,19 @@ from pyspark.sql import functions as F
 #: Word separators of the contracts: space and the ASCII controls 0x09-0x0D.
 WORD_SEP = r"[\x20\x09-\x0D]+"
 
+#: Rows and bytes that one Arrow batch of whole texts may hold; the same for all callers, as plans are lazy.
+BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
+
 _own_root: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one of our own only where it is unset (tests)."""
+    """The folder in ``spark.checkpoint.dir``; where it is unset, one of our own, in local mode only (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_root:
         path = tempfile.mkdtemp(prefix="eventloom-")
@@ -38,12 +43,22 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.scratch = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch of whole texts may hold."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,6 +7,12 @@ Each is dealt into n2 parts, and every subset of n2 - k2 parts is enumerated: on
 same elements in both sets.  A signature is a hash of (band, partition, subset, the elements there), so
 sufficiently similar sets share one.  A set signs for its own band and the one below.  n1 and n2 are
 chosen for each band so that signatures cover as many elements as possible within a number of them.
+Bands with many differing elements have pairs of three parts in more partitions than these can spoil
+(``parameters``), so similar sets share several signatures there (``least_shared``).  That is
+used twice, and loses no true link: a set that shares fewer with all others together has no
+partner; and half of that number, the set's most frequent ones, need not be met on at all, as the
+rarer ones that two similar sets share are still there, which are counted.  Passages that many sets have
+are thereby passed over where a set has enough of its own.
 
 Steps, none of which collects a group in one place or emits all pairs within one:
 
@@ -14,8 +20,11 @@ Steps, none of which collects a group in one place or emits all pairs within one
 2. Signatures are packed into binary blocks by slice; within a task's flush, a signature that several
    documents share keeps one entry, the others become pairs with the smallest id at once, so the
    entries of a hot signature are bounded by the number of flushes.  A slice's blocks meet in one call.
-3. Documents that share a signature are paired with its smallest one only.  Each document's smallest
-   such partner is verified on whole texts; the links' components are found.
+3. Rounds, linear in the signatures: each bucket names a leader, one of the component that most of
+   its members are in, at first the one that shares most signatures.  A document is verified on whole
+   texts against the leader of another component that most of its buckets name.  Links' components
+   are found, buckets within one component are done, and the next round follows, until the pairs of
+   different components that are left are few or a round finds hardly any link.
 4. Buckets that still hold several components get every pair of different components (bounded by
    size, by a parity sketch and by how many signatures large sets must share, all of which drop no true
    link), which are verified too.
@@ -31,6 +40,7 @@ empty table gives no rows.
 from __future__ import annotations
 
 import gc
+from bisect import bisect_left
 from functools import lru_cache
 from itertools import combinations
 from math import comb
@@ -38,10 +48,10 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import materialize, small_batches
+from eventloom.llm.common import discard, materialize, small_batches
 from eventloom.llm.graph import components
 
 SKETCH = 8  # longs of parity bits
@@ -104,29 +114,37 @@ def most_differing(high: int, num: int, den: int) -> int:
     return max(s - 2 * -(-num * s // (den + num)) for s in range(max(2, total - den), total + 1))
 
 
-#: From so many differing elements on, bands are dealt more finely than they need.
+#: From so many differing elements on, similar sets share several signatures.
 MANY = 24
 
 
-def shared(k: int) -> int:
-    """Signatures of parts that aren't empty that similar sets of a finely dealt band share at least."""
-    return max(3, k // 8)
+def empty_subsets(k: int) -> int:
+    """Subsets of parts without elements that a set of such a band may leave out."""
+    return 4 + k // 12
 
 
-def empty_parts(k: int) -> int:
-    """Empty parts of a set that are allowed for in that."""
-    return 3 + k // 16
+def least_shared(k: int) -> int:
+    """Signatures that similar sets share at least, if ``k`` elements differ at most.
+
+    Of the three subsets of a partition, a first differing element leaves one and a second none, so k of
+    them, dealt as badly as can be, leave 2 * n1 - k.
+    """
+    return 2 * many_partitions(k) - k - empty_subsets(k) if k >= MANY else 1
+
+
+def many_partitions(k: int) -> int:
+    return 5 * k // 8 + 4
 
 
 @lru_cache(maxsize=4096)
 def parameters(low: int, high: int, num: int, den: int, budget: int) -> tuple[int, int, int]:
     """(n1, n2, k2) of a band: signatures of as many elements as possible, for at most max(budget, k + 1) of them.
 
-    A band with many differing elements has more partitions than these can spoil, each its own part.
+    With many differing elements: subsets of two of three parts, in more partitions than these can spoil.
     """
     k = most_differing(high, num, den)
     if k >= MANY:
-        return k + shared(k) + empty_parts(k), 1, 0
+        return many_partitions(k), 3, 1
     best, found = (-1.0, 0), (k + 1, 1, 0)
     for n1 in range(1, k + 2):
         k2 = k // n1
@@ -139,9 +157,14 @@ def parameters(low: int, high: int, num: int, den: int, budget: int) -> tuple[in
     return found
 
 
-def finely_dealt_from(num: int, den: int) -> int:
-    """The smallest size whose band is finely dealt."""
-    return next(low for low, high in bands(num, den, 1 << 20) if most_differing(high, num, den) >= MANY)
+def band_facts(size: int, num: int, den: int) -> tuple[bool, int, int]:
+    """Of a set's size: whether its band is an odd one, and ``least_shared`` of that band and of the one below."""
+    if not size:
+        return False, 1, 1
+    table = bands(num, den, 1 << max(10, size.bit_length()))
+    own = bisect_left([high for _, high in table], size)
+    least = [least_shared(most_differing(table[max(0, i)][1], num, den)) for i in (own, own - 1)]
+    return own % 2 == 1, *least
 
 
 def signatures(sets: list[np.ndarray], num: int, den: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,17 +188,19 @@ def signatures(sets: list[np.ndarray], num: int, den: int, budget: int) -> tuple
         with np.errstate(over="ignore"):
             sums = sums + (np.bincount(cells, (values >> np.uint64(32)).astype("float64"), n).astype("uint64") << np.uint64(32))
             sums = sums.reshape(len(who), n1, n2)
-            if k2 == 0 and n2 == 1 and most_differing(high, num, den) >= MANY:
-                empty = (np.bincount(cells, minlength=n) == 0).reshape(len(who), n1)
-                kept = ~empty | (empty.sum(1) > empty_parts(most_differing(high, num, den)))[:, None]
-                place = mix(np.arange(n1, dtype="uint64") + np.uint64(tag << 40), 5)
-                out.append(mix(sums[:, :, 0] + place)[kept])
-                at.append(np.repeat(who, kept.sum(1)))
-                continue
-            for j, subset in enumerate(combinations(range(n2), n2 - k2)):
+            k = most_differing(high, num, den)
+            filled = np.bincount(cells, minlength=n).reshape(len(who), n1, n2) if k >= MANY else None
+            subsets = list(combinations(range(n2), n2 - k2))
+            kept = np.ones((len(subsets), len(who), n1), bool)
+            if filled is not None:
+                kept = np.stack([filled[:, :, list(subset)].any(2) for subset in subsets])
+                kept |= ((~kept).sum((0, 2)) > empty_subsets(k))[None, :, None]
+            for j, subset in enumerate(subsets):
                 place = mix(np.arange(n1, dtype="uint64") + np.uint64(tag << 40) + np.uint64(j << 20), 5)
-                out.append(mix(sums[:, :, list(subset)].sum(2, dtype="uint64") + place).ravel())
-                at.append(np.repeat(who, n1))
+                own_sigs = mix(sums[:, :, list(subset)].sum(2, dtype="uint64") + place)
+                # the lowest bit says whether the band is an odd one
+                out.append((own_sigs & ~np.uint64(1) | np.uint64(tag & 1))[kept[j]])
+                at.append(np.repeat(who, kept[j].sum(1)))
     return np.concatenate(at), np.concatenate(out)
 
 
@@ -189,22 +214,24 @@ def parity_sketch(grams: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype("uint8")).view("int64")
 
 
-def _set_rows(words: int):
-    names = ["doc_id", "n", "fp1", "fp2", *(f"s{i}" for i in range(SKETCH))]
+def _set_rows(words: int, num: int, den: int):
+    names = ["doc_id", "n", "fp1", "fp2", "odd_own", "least_own", "least_below", *(f"s{i}" for i in range(SKETCH))]
 
     def run(batches):
         shingle = Shingler(words)
         for batch in batches:
-            n, fp1, fp2, sketch = [], [], [], []
+            n, fp1, fp2, sketch, facts = [], [], [], [], []
             for text in batch.column(1):
                 grams = shingle(text.as_py())
                 n.append(len(grams))
                 fp1.append(mix(grams, 1).sum(dtype="uint64"))
                 fp2.append(mix(grams, 2).sum(dtype="uint64"))
                 sketch.append(parity_sketch(grams))
+                facts.append(band_facts(len(grams), num, den))
+            odd, own, below = zip(*facts) if facts else ((), (), ())
             rows = np.array(sketch, "int64").reshape(-1, SKETCH)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), _longs(np.array(fp1, "uint64")), _longs(np.array(fp2, "uint64")), *(_longs(rows[:, i].copy()) for i in range(SKETCH))], names
+                [batch.column(0), pa.array(n, pa.int64()), _longs(np.array(fp1, "uint64")), _longs(np.array(fp2, "uint64")), pa.array(odd, pa.bool_()), pa.array(own, pa.int32()), pa.array(below, pa.int32()), *(_longs(rows[:, i].copy()) for i in range(SKETCH))], names
             )
 
     return run
@@ -284,7 +311,7 @@ def _pack(words: int, num: int, den: int, budget: int, slices: int):
 
 
 def _meet(key, group):
-    """Of a slice's blocks: (sig, a, b) rows; ``sig`` is null for a pair that has its bucket to itself."""
+    """Of a slice's blocks: (sig, odd, a, b) rows; ``sig`` is null for a pair that has its bucket to itself."""
     number = np.uint64(key[0].as_py())
     sig, a, b = [], [], []
     for data in group["pairs"]:
@@ -294,6 +321,7 @@ def _meet(key, group):
             sig.append(full), a.append(low.view("int64")), b.append(doc.view("int64"))
     keep = [_from_planes(x.as_py(), SIG_BYTES) for x in group["sigs"] if x.as_py()]
     alone_a = alone_b = np.zeros(0, "int64")
+    alone_odd = np.zeros(0, bool)
     if keep:
         keep = np.concatenate(keep)
         nine = [np.frombuffer(x.as_py(), "uint8").reshape(9, -1) for x in group["docs"] if x.as_py()]
@@ -306,13 +334,16 @@ def _meet(key, group):
         many = np.repeat((runs > 2) | ((runs == 2) & np.logical_or.reduceat(flag, starts)), runs)
         leader = np.repeat(docs[starts], runs)
         two = starts[(runs == 2) & ~many[starts]]
-        alone_a, alone_b = docs[two], docs[two + 1]
+        alone_a, alone_b, alone_odd = docs[two], docs[two + 1], keep[two] & np.uint64(1) == 1
         sig.append(keep[many] ^ (number << np.uint64(48))), a.append(leader[many]), b.append(docs[many])
     n = len(alone_a)
-    sigs = np.concatenate([*sig, np.zeros(0, "uint64")]).view("int64")
+    sigs = np.concatenate([*sig, np.zeros(0, "uint64")])
+    odd = np.concatenate([sigs & np.uint64(1) == 1, alone_odd])
+    sigs = sigs.view("int64")
     return pa.table(
         {
             "sig": pa.concat_arrays([pa.array(sigs), pa.nulls(n, pa.int64())]),
+            "odd": odd,
             "a": np.concatenate([*a, alone_a]),
             "b": np.concatenate([*b, alone_b]),
         }
@@ -339,43 +370,83 @@ def _verify(words: int, num: int, den: int):
 
 
 def _release(df: DataFrame) -> None:
-    """Let Spark delete the shuffle files of steps whose results are written."""
+    """Let Spark's cleaner delete the shuffle files of steps whose results are written: their last references go with this."""
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
+#: Rounds that meet leaders, at most; pairs left of different components count as few if under so many a row.
+MOST_ROUNDS, FEW = 4, 2
+
+
 def near_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, budget: int = 48) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs(doc_id, text)``; see the module."""
     spark = docs.sparkSession
-    small_batches(spark, 1000)
+    small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = [f"s{i}" for i in range(SKETCH)]
-    sets = materialize(texts.mapInArrow(_set_rows(words), "doc_id long, n long, fp1 long, fp2 long, " + ", ".join(f"{s} long" for s in sketch)), "shingle-sets")
-
-    # 1. classes of equal sets
-    real = sets.where("n > 0 and doc_id is not null")
-    firsts = real.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep"))
-    nodes = materialize(sets.join(firsts, ["fp1", "fp2", "n"], "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"), *sketch), "shingle-classes")
-    reps = nodes.where("doc_id = rep").select("rep", "n", *sketch).dropDuplicates(["rep", "n", *sketch])
+    facts = ["n", "odd_own", "least_own", "least_below", *sketch]
+    schema = "doc_id long, n long, fp1 long, fp2 long, odd_own boolean, least_own int, least_below int, " + ", ".join(f"{s} long" for s in sketch)
+    sets = materialize(texts.mapInArrow(_set_rows(words, num, den), schema), "shingle-sets")
+
+    # 1. classes of equal sets; rows without shingles or id are in none
+    is_real = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    real = sets.where(is_real)
+    firsts = real.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    # written, so that adaptive execution can split the join where a class has many rows
+    firsts = materialize(firsts, "shingle-firsts")
+    classed = real.join(firsts, ["fp1", "fp2", "n"], "left").withColumn("rep", F.coalesce("rep", "doc_id")).select("doc_id", "rep", *facts)
+    none = sets.where(~F.coalesce(is_real, F.lit(False))).select("doc_id", F.lit(None).cast("long").alias("rep"), *facts)
+    nodes = materialize(classed.unionByName(none), "shingle-classes")
+    discard(sets)
+    reps = nodes.where("doc_id = rep")
     rep_of = nodes.where("rep <> doc_id").select("doc_id", "rep")
+    # ids that have several sets stand for themselves, and link these
+    several = nodes.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("doc_id", "a")
+    links = materialize(nodes.join(several, "doc_id").select("doc_id", "a", F.col("rep").alias("b")), "shingle-several")
+    if some_several := links.limit(1).count():
+        reps = reps.unionByName(nodes.join(links.select("doc_id"), "doc_id", "left_semi").withColumn("rep", F.col("doc_id")))
+        rep_of = rep_of.join(links.select("doc_id"), "doc_id", "left_anti")
+    reps = reps.select("rep", *facts).dropDuplicates(["rep", "n", *sketch])
 
     # 2. documents that share a signature
     # slices of about 16 MB: a document's signatures take about as much as its text
     size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     slices = min(1 << 20, max(512, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size >> 23))
     blocks = texts.mapInArrow(_pack(words, num, den, budget, slices), "slice int, sigs binary, docs binary, pairs binary")
-    met = materialize(blocks.groupBy("slice").applyInArrow(_meet, "sig long, a long, b long"), "shingle-buckets")
+    met = materialize(blocks.groupBy("slice").applyInArrow(_meet, "sig long, odd boolean, a long, b long"), "shingle-buckets")
     _release(docs)
 
     def represented(df: DataFrame, name: str) -> DataFrame:
         to = rep_of.select(F.col("doc_id").alias(name), F.col("rep").alias("_rep"))
         return df.join(to, name, "left").withColumn(name, F.coalesce("_rep", name)).drop("_rep")
 
-    stars = represented(represented(met.where("a <> b").select("a", "b").distinct(), "a"), "b")
-    stars = stars.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    alone = represented(represented(met.where("sig is null").groupBy("a", "b").agg(F.count("*").alias("w")), "a"), "b")
-    alone = alone.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").where("a <> b")
-    members = represented(met.where("sig is not null").select("sig", F.explode(F.array("a", "b")).alias("doc")).distinct(), "doc").distinct()
+    alone = represented(represented(met.where("sig is null").groupBy("a", "b", "odd").agg(F.count("*").alias("w")), "a"), "b").where("a <> b")
+    alone = alone.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "odd").agg(F.sum("w").alias("w"))
+    members = represented(met.where("sig is not null").select("sig", "odd", F.explode(F.array("a", "b")).alias("doc")).distinct(), "doc").distinct()
+    members = materialize(members, "shingle-members")
+    # a signature's frequency puts the same order on those of all documents
+    often = materialize(members.groupBy("sig").agg(F.count("*").alias("df")).where("df > 3"), "shingle-often")
+    whole = members.join(often, "sig", "left").select("sig", "odd", "doc", F.lit(None).cast("long").alias("other"), F.lit(1).cast("long").alias("w"), F.coalesce("df", F.lit(3)).alias("df"))
+    halves = alone.select("odd", "w", F.explode(F.array(F.struct(F.col("a").alias("doc"), F.col("b").alias("other")), F.struct(F.col("b").alias("doc"), F.col("a").alias("other")))).alias("p"))
+    halves = halves.select(F.lit(None).cast("long").alias("sig"), "odd", "p.doc", "p.other", "w", F.lit(2).cast("long").alias("df"))
+    # a document has as many rows as signatures
+    own = Window.partitionBy("doc", "odd")
+    # several sets of an id aren't told apart: one shared signature is enough
+    demand = reps.groupBy(F.col("rep").alias("doc")).agg(F.count("*").alias("sets"), F.first("odd_own").alias("odd_own"), F.first("least_own").alias("least_own"), F.first("least_below").alias("least_below"))
+    least = F.when(F.col("sets") > 1, 1).otherwise(F.when(F.col("odd") == F.col("odd_own"), F.col("least_own")).otherwise(F.col("least_below")))
+    ranked = whole.unionByName(halves).join(demand, "doc").withColumn("least", least)
+    ranked = ranked.withColumns({"all": F.sum("w").over(own), "rank": F.row_number().over(own.orderBy(F.desc("df"), "sig", "other"))})
+    spared = F.floor(F.col("least") / 2)
+    ranked = ranked.where((F.col("all") >= F.col("least")) & ((F.col("rank") > spared) | F.col("sig").isNull()))
+    kept = materialize(ranked.select("sig", "odd", "doc", "other", "w", "all", (F.col("least") - spared).alias("need")), "shingle-kept")
+    discard(met, members, often)
+    apart = kept.where("sig is null").groupBy(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b"), "odd")
+    apart = apart.agg(F.count("*").alias("sides"), F.min("w").alias("w"), F.min("need").alias("need")).where("sides = 2").drop("sides")
+    _release(docs)
+
+    # texts of all documents that may be verified
+    held = materialize(texts.join(kept.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), "shingle-texts")
 
     def described(df: DataFrame, name: str) -> DataFrame:
         return df.join(reps.select(F.col("rep").alias(name), F.col("n").alias(f"n_{name}"), *(F.col(s).alias(f"{s}_{name}") for s in sketch)), name)
@@ -386,51 +457,72 @@ def near_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
         bits = sum((F.bit_count(F.col(f"{s}_{a}").bitwiseXOR(F.col(f"{s}_{b}"))) for s in sketch), F.lit(0))
         return (den * F.least(na, nb) >= num * F.greatest(na, nb)) & (bits * (den + num) <= (den - num) * (na + nb))
 
-    pairs = materialize(described(described(stars, "a"), "b").where(may_link("a", "b")).select("a", "b"), "shingle-pairs")
-    members = materialize(members, "shingle-members")
-
-    # texts of all documents that may be verified
-    wanted = pairs.select("a").union(pairs.select("b")).union(members.select("doc")).distinct().withColumnRenamed("a", "doc_id")
-    held = materialize(texts.join(wanted, "doc_id", "left_semi"), "shingle-texts")
-    _release(docs)
-
     def verified(df: DataFrame, tag: str) -> DataFrame:
         left = held.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
         right = held.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
         joined = df.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
         return materialize(joined.mapInArrow(_verify(words, num, den), "a long, b long"), tag)
 
-    # 3. each document with its smallest partner, and documents that have several texts
-    tried = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "shingle-tried")
-    several = nodes.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("doc_id", "a")
-    same = nodes.join(several, "doc_id").select("a", F.col("rep").alias("b")).where("a <> b")
-    links = verified(tried, "shingle-links").union(same)
-    found = materialize(components(links), "shingle-components")
-
-    # 4. pairs of different components that share a signature
-    def in_component(df: DataFrame, name: str) -> DataFrame:
-        own = found.select(F.col("node").alias(name), F.col("component").alias(f"c_{name}"))
-        return df.join(own, name, "left").withColumn(f"c_{name}", F.coalesce(f"c_{name}", name))
-
+    def in_component(df: DataFrame, found: DataFrame | None, name: str) -> DataFrame:
+        if found is None:
+            return df.withColumn(f"c_{name}", F.col(name))
+        to = found.select(F.col("node").alias(name), F.col("component").alias(f"c_{name}"))
+        return df.join(to, name, "left").withColumn(f"c_{name}", F.coalesce(f"c_{name}", name))
+
+    # 3. rounds with leaders
+    found, tried = None, []
+    if some_several:
+        found = links.select("a", "b").union(links.select("doc_id", "b")).where("a <> b")
+        found = materialize(components(found), "shingle-components")
     # signatures with the same members tell the same pairs: one of them stands for all, with their number
-    placed = in_component(members, "doc")
     contents = (F.bit_xor(F.xxhash64("doc")).alias("k1"), F.bit_xor(F.xxhash64("doc", F.lit(7))).alias("k2"), F.count("*").alias("n"))
-    by_sig = placed.groupBy("sig").agg(F.min("c_doc").alias("x"), F.max("c_doc").alias("y"), *contents).where("x <> y")
-    open_sigs = by_sig.groupBy("k1", "k2", "n").agg(F.min("sig").alias("sig"), F.count("*").alias("w")).select("sig", "w")
-    still = materialize(described(placed.join(open_sigs, "sig"), "doc"), "shingle-open")
-    x = still.select("sig", "w", *(F.col(c).alias(c.replace("doc", "a")) for c in still.columns if c not in ("sig", "w")))
-    y = still.select("sig", *(F.col(c).alias(c.replace("doc", "b")) for c in still.columns if c not in ("sig", "w")))
+    by_sig = kept.where("sig is not null").groupBy("sig", "odd").agg(*contents).where("n > 1")
+    single = by_sig.groupBy("k1", "k2", "n", "odd").agg(F.min("sig").alias("sig"), F.count("*").alias("w")).select("sig", "w")
+    buckets = materialize(kept.where("sig is not null").drop("w", "other").join(single, "sig"), "shingle-open")
+    for turn in range(MOST_ROUNDS):
+        placed = in_component(buckets, found, "doc")
+        rank = F.col("all") if turn == 0 else F.xxhash64("doc", F.lit(turn))
+        by_component = placed.groupBy("sig", "c_doc").agg(F.count("*").alias("n"), F.max(F.struct(rank.alias("rank"), "doc")).alias("top"))
+        leaders = by_component.groupBy("sig").agg(F.max(F.struct("n", "top", "c_doc")).alias("lead"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same")).where("n > lead.n")
+        leaders = materialize(leaders.select("sig", F.col("lead.top.doc").alias("lead"), F.col("lead.c_doc").alias("c_lead"), "n", "same"), "shingle-leaders")
+        left = leaders.agg(F.sum("n").alias("rows"), F.sum((F.col("n").cast("double") * F.col("n") - F.col("same")) / 2).alias("pairs")).first()
+        if not left.rows or left.pairs <= FEW * left.rows and turn:
+            break
+        buckets = materialize(placed.drop("c_doc").join(leaders.select("sig"), "sig", "left_semi"), "shingle-open")
+        named = in_component(buckets, found, "doc").join(leaders.select("sig", "lead", "c_lead"), "sig").where("c_doc <> c_lead")
+        named = described(described(named.groupBy("doc", "lead").agg(F.sum("w").alias("w")), "doc"), "lead").where(may_link("doc", "lead"))
+        asked = named.select(F.least("doc", "lead").alias("a"), F.greatest("doc", "lead").alias("b"), "doc", "w")
+        for before in tried:
+            asked = asked.join(before, ["a", "b"], "left_anti")
+        asked = asked.groupBy("doc").agg(F.max(F.struct("w", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
+        tried.append(materialize(asked, "shingle-tried"))
+        new = verified(tried[-1], "shingle-links")
+        _release(docs)
+        n_new = new.count()
+        if n_new:
+            found = materialize(components(new if found is None else new.union(found.select("component", "node"))), "shingle-components")
+        if 10 * n_new < tried[-1].count() and turn:
+            break
+
+    # 4. pairs of different components that share enough signatures
+    placed = in_component(buckets, found, "doc")
+    open_sigs = placed.groupBy("sig").agg(F.min("c_doc").alias("x"), F.max("c_doc").alias("y")).where("x <> y").select("sig")
+    still = materialize(described(placed.join(open_sigs, "sig"), "doc"), "shingle-still")
+    sides = [c for c in still.columns if c not in ("sig", "w", "odd", "need", "all")]
+    x = still.select("sig", "w", "odd", "need", *(F.col(c).alias(c.replace("doc", "a")) for c in sides))
+    y = still.select("sig", *(F.col(c).alias(c.replace("doc", "b")) for c in sides))
     meeting = (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & may_link("a", "b")
-    across = x.alias("x").join(y.alias("y"), (F.col("x.sig") == F.col("y.sig")) & meeting).select("a", "b", "w", F.least("n_a", "n_b").alias("n"))
-    apart = described(in_component(in_component(alone, "a"), "b").where("c_a <> c_b"), "a")
-    apart = described(apart, "b").where(may_link("a", "b")).select("a", "b", "w", F.least("n_a", "n_b").alias("n"))
-    # k of the smaller set's band is (den - num) / num of its size, less 2, at least
-    enough = F.when(F.col("n") >= finely_dealt_from(num, den), F.greatest(F.lit(3), F.floor((F.col("n") * (den - num) / num - 2) / 8))).otherwise(1)
-    met_often = across.union(apart).groupBy("a", "b").agg(F.sum("w").alias("w"), F.min("n").alias("n")).where(F.col("w") >= enough)
-    rest = met_often.select("a", "b").join(tried, ["a", "b"], "left_anti")
+    across = x.alias("x").join(y.alias("y"), (F.col("x.sig") == F.col("y.sig")) & meeting).select("a", "b", "odd", "w", "need")
+    two = described(in_component(in_component(apart, found, "a"), found, "b").where("c_a <> c_b"), "a")
+    two = described(two, "b").where(may_link("a", "b")).select("a", "b", "odd", "w", "need")
+    met_often = across.union(two).groupBy("a", "b", "odd").agg(F.sum("w").alias("w"), F.min("need").alias("need")).where("w >= need")
+    rest = met_often.select("a", "b").distinct()
+    for before in tried:
+        rest = rest.join(before, ["a", "b"], "left_anti")
     more = verified(rest, "shingle-links")
     # components seen so far are links too
-    final = materialize(components(more.union(found.select("component", "node"))), "shingle-components")
+    final = materialize(components(more if found is None else more.union(found.select("component", "node"))), "shingle-components")
 
-    out = nodes.join(final.withColumnRenamed("node", "rep"), "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    out = nodes.where("rep is not null").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n", F.coalesce("component", "rep").alias("c"))
+    out = out.unionByName(nodes.where("rep is null").select("doc_id", "n", F.col("doc_id").alias("c")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("component_id"))

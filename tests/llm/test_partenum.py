@@ -74,6 +74,30 @@ def test_edge_rows(spark):
     assert run(spark, [], 3, 90, 100) == []
 
 
+def test_copies_among_texts_that_share_a_passage(spark):
+    """Long texts with one passage in common, half of them near copies of another: the passage's buckets are hot."""
+    draw = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    passage = [draw.choice(vocabulary) for _ in range(150)]
+    rows = []
+    for i in range(60):
+        own = [draw.choice(vocabulary) for _ in range(draw.choice([60, 150, 400]))]
+        rows.append((3 * i, " ".join(own + passage)))
+        if i % 2:
+            for j in draw.sample(range(len(own)), len(own) // 60):
+                own[j] = "changed"
+            rows.append((3 * i + 1, " ".join(own + passage)))
+    assert run(spark, rows, 5, 80, 100) == brute(rows, 5, 80, 100)
+
+
+def test_an_id_with_several_texts_links_near_copies_of_each(spark):
+    words = [f"w{i}" for i in range(100)]
+    other = [f"v{i}" for i in range(100)]
+    rows = [(1, " ".join(other)), (5, " ".join(words)), (5, " ".join(other)), (9, " ".join([*words, "end"])), (11, " ".join(["start", *other]))]
+    got = run(spark, rows, 3, 90, 100)
+    assert {(i, c) for i, _, c in got} == {(1, 1), (5, 1), (9, 1), (11, 1)}
+
+
 def test_query_matches_brute_force(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, queries.op3_partenum(spark, sf_dir).collect()), key=str) == brute(rows, 3, 90, 100)
@@ -106,8 +130,9 @@ def test_similar_sets_always_share_a_signature():
                     continue
                 at, sigs = partenum.signatures([a, b], num, den, budget)
                 n = min(len(a), len(b))
-                least = max(3, int((n * (den - num) / num - 2) // 8)) if n >= partenum.finely_dealt_from(num, den) else 1
-                assert len(set(sigs[at == 0]) & set(sigs[at == 1])) >= least
+                odd, least, _ = partenum.band_facts(n, num, den)
+                both = set(sigs[at == 0]) & set(sigs[at == 1])
+                assert sum((int(x) & 1 == 1) == odd for x in both) >= least
 
 
 def test_parity_sketch_never_exceeds_the_difference():
