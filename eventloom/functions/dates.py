@@ -7,13 +7,13 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from eventloom.functions.binding import let
+
 ZONE = "Europe/Rome"
 # First three letters of the Italian months, in order.
 MONTHS = "gen feb mar apr mag giu lug ago set ott nov dic".split()
-_MONTH = "(" + "|".join(MONTHS) + ")"
-ITALIAN_DATE = rf"(?i)([0-9]{{1,2}})\s+{_MONTH}\w*\.?\s+([0-9]{{4}})"
-SHARED_MONTH = rf"(?i)(?:dal|dall['’])\s*([0-9]{{1,2}})\s+(?:al|all['’])\s*([0-9]{{1,2}})\s+{_MONTH}\w*\s+([0-9]{{4}})"
-NUMERIC_RANGE = r"([0-9]{2})/([0-9]{2})/([0-9]{4})(?:\s*(?:-|al)\s*([0-9]{2})/([0-9]{2})/([0-9]{4}))?"
+#: A day in figures.
+FIGURES = "[0-9]{2}/[0-9]{2}/[0-9]{4}"
 
 
 def as_day(value) -> Column:
@@ -59,48 +59,98 @@ def is_iso_day(text: Column) -> Column:
     return text.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).isNotNull()
 
 
-def _joined(year: Column, month: Column, day: Column) -> Column:
-    return F.when(year != "", F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")))
-
-
 def _span(start: Column, end: Column) -> Column:
     return F.struct(start.alias("start"), F.when(end != start, end).alias("end"))
 
 
+def _from_figures(day: Column) -> Column:
+    return F.when(day != "", F.array_join(F.reverse(F.split(day, "/")), "-"))
+
+
 def numeric_range(text: Column) -> Column:
-    """``dd/mm/yyyy`` or two of them as struct(start, end) of ISO strings; the end is null for one day."""
-    part = lambda k: F.regexp_extract(text, NUMERIC_RANGE, k)
-    return _span(_joined(part(3), part(2), part(1)), _joined(part(6), part(5), part(4)))
+    """The first day in figures, and the one that a hyphen or ``al`` ties to it, as struct(start, end) of ISO strings."""
+
+    def read(whole: Column, first: Column) -> Column:
+        behind = F.ltrim(F.substr(whole, F.instr(whole, first) + F.lit(10)))
+        tied = lambda b: F.when(b.startswith("-"), F.substr(b, F.lit(2))).when(b.startswith("al"), F.substr(b, F.lit(3)))
+        second = F.substring(F.ltrim(let(behind, tied)), 1, 10)
+        ending = let(second, lambda d: F.when((first != "") & d.rlike(f"^{FIGURES}$"), _from_figures(d)))
+        return let(ending, lambda end: _span(_from_figures(first), end))
+
+    return let(text, lambda whole: let(F.regexp_extract(whole, FIGURES, 0), lambda first: read(whole, first)))
+
+
+def days_in_figures(text: Column) -> Column:
+    """All days in figures of a text, as ISO strings."""
+    return F.transform(F.regexp_extract_all(text, F.lit(FIGURES), F.lit(0)), _from_figures)
+
+
+def _words(text: Column) -> Column:
+    return F.split(F.trim(text), r"\s+")
 
 
-def _month_number(name: Column) -> Column:
-    number = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(name))
-    return F.lpad(number.cast("string"), 2, "0")
+def _month(word: Column) -> Column:
+    """Number of the month that a word starts with, 0 for other words."""
+    number = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.left(word, F.lit(3))))
+    return F.when(word.rlike(r"^\w+\.?$"), number).otherwise(0)
 
 
-def _named(text: Column) -> Column:
-    part = lambda k: F.regexp_extract(text, ITALIAN_DATE, k)
-    return _joined(part(3), _month_number(part(2)), part(1))
+def _iso(year: Column, month: Column, day: Column) -> Column:
+    return F.concat_ws("-", F.left(year, F.lit(4)), F.lpad(month.cast("string"), 2, "0"), F.lpad(day, 2, "0"))
+
+
+def _first_place(words: Column, length: int, holds) -> Column:
+    """The first place (from 0) of ``length`` words that ``holds`` says yes to; null if there is none."""
+    places = F.when(F.size(words) >= length, F.sequence(F.lit(0), F.size(words) - length))
+    return F.get(F.filter(places, lambda i: F.coalesce(holds(i), F.lit(False))), 0)
+
+
+def _named_at(words: Column) -> Column:
+    """Where a day, a month's name and a year stand one after another."""
+    word = lambda i: F.get(words, i)
+    return _first_place(words, 3, lambda i: word(i).rlike("[0-9]$") & (_month(word(i + 1)) > 0) & word(i + 2).rlike("^[0-9]{4}"))
+
+
+def _named_day(words: Column, at: Column) -> Column:
+    day = F.regexp_extract(F.get(words, at), "[0-9]{1,2}$", 0)
+    return F.when(at.isNotNull(), _iso(F.get(words, at + 2), _month(F.get(words, at + 1)), day))
 
 
 def italian_dates(text: Column) -> Column:
-    """struct(start, end, time, prefix) of the first and second ``6 lug 2026`` in a text."""
-    found = F.regexp_extract_all(text, F.lit(ITALIAN_DATE), F.lit(0))
-    start, end = _named(F.get(found, 0)), _named(F.get(found, 1))
-    clock = r"(?i)ore\s+([0-9]{1,2})[:.]([0-9]{2})"
-    hours = F.regexp_extract(text, clock, 1)
-    time = F.when(hours != "", F.concat(F.lpad(hours, 2, "0"), F.lit(":"), F.regexp_extract(text, clock, 2)))
-    prefix = F.trim(F.regexp_extract(text, rf"(?s)^(.*?){ITALIAN_DATE}", 1))
-    return F.struct(start.alias("start"), F.when(end != start, end).alias("end"), time.alias("time"), prefix.alias("prefix"))
+    """struct(start, end, time, prefix) of the first and second ``6 lug 2026`` in a text, told by its words."""
+    clock = "^([0-9]{1,2})[:.]([0-9]{2})"
+
+    def read(words: Column, at: Column) -> Column:
+        # what is left of the year's word may be the next day
+        rest = F.concat(F.array(F.substr(F.get(words, at + 2), F.lit(5))), F.slice(words, at + 4, F.greatest(F.size(words), F.lit(1))))
+        end = let(rest, lambda r: let(_named_at(r), lambda k: _named_day(r, k)))
+        hour_at = _first_place(words, 2, lambda i: F.lower(F.get(words, i)).endswith("ore") & F.get(words, i + 1).rlike(clock))
+        said = let(hour_at, lambda k: F.get(words, k + 1))
+        time = let(said, lambda w: F.concat(F.lpad(F.regexp_extract(w, clock, 1), 2, "0"), F.lit(":"), F.regexp_extract(w, clock, 2)))
+        before = F.array_append(F.slice(words, 1, at), F.regexp_replace(F.get(words, at), "[0-9]{1,2}$", ""))
+        prefix = F.coalesce(F.trim(F.array_join(before, " ")), F.lit(""))
+        both = F.struct(_named_day(words, at).alias("start"), end.alias("end"))
+        return let(both, lambda d: F.struct(d["start"].alias("start"), F.when(d["end"] != d["start"], d["end"]).alias("end"), time.alias("time"), prefix.alias("prefix")))
+
+    return let(_words(text), lambda words: let(_named_at(words), lambda at: read(words, at)))
 
 
 def season_date(text: Column) -> Column:
     """``Dal 16 al 25 ottobre 2026``, else the dates of ``italian_dates``, as struct(start, end)."""
-    part = lambda k: F.regexp_extract(text, SHARED_MONTH, k)
-    month = _month_number(part(3))
-    shared = _span(_joined(part(4), month, part(1)), _joined(part(4), month, part(2)))
-    single = italian_dates(text)
-    return F.when(part(4) != "", shared).otherwise(F.struct(single["start"].alias("start"), single["end"].alias("end")))
+
+    def place(words: Column) -> Column:
+        word = lambda i: F.get(words, i)
+        is_day = lambda i: word(i).rlike("^[0-9]{1,2}$")
+        return _first_place(words, 6, lambda i: word(i).endswith("dal") & is_day(i + 1) & (word(i + 2) == "al") & is_day(i + 3) & (_month(word(i + 4)) > 0) & word(i + 5).rlike("^[0-9]{4}"))
+
+    def shared(words: Column, at: Column) -> Column:
+        day = lambda i: _iso(F.get(words, at + 5), _month(F.get(words, at + 4)), F.get(words, at + i))
+        return F.when(at.isNotNull(), _span(day(1), day(3)))
+
+    # dall'11, dal11 and dal 11 are one wording
+    spaced = F.regexp_replace(F.lower(text), "(dal|al)(?:l['’])?\\s*(?=[0-9])", "$1 ")
+    found = let(_words(spaced), lambda words: let(place(words), lambda at: shared(words, at)))
+    return F.coalesce(found, let(italian_dates(text), lambda d: F.struct(d["start"].alias("start"), d["end"].alias("end"))))
 
 
 def ttl_seconds(last_day: Column, now_seconds: Column) -> Column:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+
+from eventloom.functions.binding import let
 
 # Words that make event titles look alike without telling events apart.
 TITLE_STOPWORDS = (
@@ -121,9 +120,9 @@ def category_hint(labels: Column) -> Column:
 
 
 def strip_tags(html: Column) -> Column:
-    """Visible text: no scripts, styles or tags, runs of white space as one space."""
+    """Visible text: no scripts, styles or tags, character references read, runs of white space as one space."""
     bare = F.regexp_replace(F.regexp_replace(html, "(?is)<(script|style)[^>]*>.*?</\\1>", " "), "<[^>]*>", " ")
-    return F.trim(F.regexp_replace(bare, "\\s+", " "))
+    return decode_entities(bare)
 
 
 def first_image(html: Column) -> Column:
@@ -155,23 +154,25 @@ def tolerant_json(text: Column) -> Column:
     return F.try_parse_json(F.regexp_extract(bare, r"(?s)(\{.*\})", 1))
 
 
-def _decoded(text: str | None) -> str | None:
-    if text is None:
-        return None
+def decode_entities(text: Column) -> Column:
+    """Character references as characters, runs of white space as one space; references to no character go."""
 
-    def point(number: int) -> str:
-        return chr(number) if number <= 0x10FFFF else ""
+    def numbered(piece: Column, at: Column) -> Column:
+        def read(said: Column) -> Column:
+            code = F.when(said.startswith("x"), F.conv(F.substr(said, F.lit(2)), 16, 10)).otherwise(said).try_cast("long")
+            char = F.when(code.between(1, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("")
+            return F.when(said == "", F.concat(F.lit("&#"), piece)).otherwise(F.concat(char, F.substr(piece, F.length(said) + 2)))
 
-    text = re.sub(r"&#x([0-9a-fA-F]+);", lambda m: point(int(m[1], 16)), text)
-    text = re.sub(r"&#(\d+);", lambda m: point(int(m[1])), text)
-    text = re.sub(r"&(\w+);", lambda m: ENTITIES.get(m[1], m[0]), text)
-    return " ".join(text.split())
+        return F.when(at == 0, piece).otherwise(let(F.regexp_extract(piece, "^(x[0-9a-fA-F]+|[0-9]+);", 1), read))
 
+    def read_all(whole: Column) -> Column:
+        out = F.array_join(F.transform(F.split(whole, "&#"), numbered), "")
+        # the ampersand comes last: what it makes is no reference
+        for name in [*(n for n in ENTITIES if n != "amp"), "amp"]:
+            out = F.replace(out, F.lit(f"&{name};"), F.lit(ENTITIES[name]))
+        return F.when(whole.contains("&"), out).otherwise(whole)
 
-@F.pandas_udf(StringType())
-def decode_entities(texts: pd.Series) -> pd.Series:
-    """Character references as characters; the JVM has no function from code points of any size."""
-    return texts.map(_decoded, na_action="ignore")
+    return F.trim(F.regexp_replace(let(text, read_all), "[\\s\u00A0]+", " "))
 
 
 def escape_html(text: Column) -> Column:
