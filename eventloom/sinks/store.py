@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +13,29 @@ from pyspark.sql import functions as F
 from eventloom.functions.dates import ttl_seconds
 
 
+_own: dict[str, str] = {}
+
+
+def state_root(spark: SparkSession, tag: str) -> str:
+    """A new folder in ``spark.checkpoint.dir``; where that is unset, in a temporary one, in local mode only."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="eventloom-")
+            atexit.register(shutil.rmtree, _own[app], True)
+        root = f"file://{_own[app]}"
+    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there, in whatever store."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
+
+
 def with_expiry(records: DataFrame, now_seconds: int, last_day: str = "last_day") -> DataFrame:
     return records.withColumn("expires_at", F.lit(now_seconds) + ttl_seconds(F.col(last_day), F.lit(now_seconds)))
 
