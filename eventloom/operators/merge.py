@@ -37,6 +37,28 @@ def fold_links(links: Column, own_url: Column) -> Column:
     return F.transform(urls, folded)
 
 
+def unite_links(links: DataFrame, key: str, order: str = "seq") -> DataFrame:
+    """``key, links`` of rows ``key, order, source, url, image``: a link for each URL, in order of first sight.
+
+    Each URL is summed before the shuffle, so a key with many sightings gathers its distinct URLs only.
+    """
+    once = links.where("url is not null").groupBy(key, "url").agg(F.min(order).alias("at"), F.min_by("source", order).alias("source"), first_known("image", order).alias("image"))
+    kept = F.transform(F.array_sort(F.collect_list(F.struct("at", "source", "url", "image"))), lambda x: F.struct(x["source"].alias("source"), x["url"].alias("url"), x["image"].alias("image")))
+    return once.groupBy(key).agg(kept.alias("links"))
+
+
+def filled(stored: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Stored and new rows as one for each key: what is stored stays, gaps are filled, a range of days widens."""
+    theirs = new.select(key, *(F.col(c).alias(f"_{c}") for c in columns))
+    both = stored.select(key, *columns).join(theirs, key, "full")
+    out = {c: F.coalesce(c, f"_{c}") for c in columns}
+    if {"startDate", "endDate"} <= set(columns):
+        start = F.least("startDate", "_startDate")
+        last = F.greatest(F.coalesce("endDate", "startDate"), F.coalesce("_endDate", "_startDate"))
+        out |= {"startDate": start, "endDate": F.when(last != start, last)}
+    return both.select(key, *(out[c].alias(c) for c in columns))
+
+
 def upsert(stored: DataFrame, incoming: DataFrame, key: str = "id", filled: tuple = FILLED) -> DataFrame:
     """Stored records with what a new sighting adds: gaps filled, the range widened, links united.
 

@@ -1,7 +1,7 @@
 """The batch run: sightings of all sources to records and their index, and the repairs of a stored corpus.
 
-Model-backed steps (enrichment, judging pairs) and the geocoder come in as tables or callables; where none is
-given, rows simply stay unenriched and pairs unjudged.
+Model-backed steps (enrichment, judging pairs), detail pages and the geocoder come in as callables from tables to
+tables.  Where none is given, rows stay unenriched, and ``judged_by_score`` stands in for a judge of pairs: a stand-in, no model.
 """
 
 from __future__ import annotations
@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from eventloom.corpus import compact
 from eventloom.functions.dates import as_day
 from eventloom.functions.geo import misplaced
-from eventloom.functions.text import free_from_price, has_cjk
-from eventloom.operators import identity, merge
+from eventloom.functions.text import free_from_price, has_cjk, significant_tokens
+from eventloom.operators import dedupe, identity, merge
 from eventloom.schema import LINK, SESSION, TEXTS
+from eventloom.sources.feeds import lookup_details
 
 FIELDS = ("title", "startDate", "endDate", "time", "venue", "address", "priceInfo", "rawDescription", "url", "source", "city", "lat", "lng", "categoryHint", "image")
 ENRICHED = (
@@ -25,6 +26,8 @@ ENRICHED = (
     f"e_sessions array<{SESSION}>, e_kind string, e_unusual boolean, e_blocked boolean"
 )
 VERSION = 1
+#: What detail pages can tell.
+DETAILS = ("rawDescription", "venue", "time", "priceInfo")
 
 
 @dataclass
@@ -39,19 +42,20 @@ class Run:
 def identified(sightings: DataFrame, index: DataFrame) -> DataFrame:
     """Sightings with their ``id``: by known URL, else by hash."""
     hashed = sightings.withColumn("id", identity.event_id(F.col("title"), F.col("startDate")))
-    known = index.select("id", "u", F.coalesce("l", F.array().cast(f"array<{LINK}>")).alias("l"), F.monotonically_increasing_id().alias("pos"))
+    # of events that know one URL, the latest added, of these the one with the largest id
+    known = index.select("id", "u", F.coalesce("l", F.array().cast(f"array<{LINK}>")).alias("l"), F.struct(F.coalesce("cr", F.lit(0)).alias("at"), "id").alias("pos"))
     return identity.resolve(hashed, identity.alias_map(known))
 
 
 def folded(sightings: DataFrame) -> DataFrame:
     """One sighting for each id: first known values; the other sightings' links stay as alternatives."""
-    link = F.struct(F.col("seq"), F.col("source"), F.col("url"), F.col("image"))
     first = {c: merge.first_known(c).alias(c) for c in FIELDS}
     # the dates are those of the first sighting, not a mixture of several
     first["endDate"] = F.min_by("endDate", "seq").alias("endDate")
-    out = sightings.groupBy("id").agg(*first.values(), F.array_sort(F.collect_list(link)).alias("_links"))
-    links = F.transform("_links", lambda x: F.struct(x["source"].alias("source"), x["url"].alias("url"), x["image"].alias("image")))
-    return out.withColumn("altLinks", merge.fold_links(links, F.col("url"))).drop("_links")
+    out = sightings.groupBy("id").agg(*first.values())
+    links = merge.unite_links(sightings.select("id", "seq", "source", "url", "image"), "id").withColumnRenamed("id", "_id")
+    out = out.join(links, F.col("id") == F.col("_id"), "left")
+    return out.withColumn("altLinks", merge.fold_links(F.col("links"), F.col("url"))).drop("_id", "links")
 
 
 def to_records(fresh: DataFrame, enriched: DataFrame, now_seconds: int) -> DataFrame:
@@ -76,9 +80,70 @@ def needs_enrichment(version: int = VERSION) -> Column:
     return ~F.col("enriched") | (F.coalesce(F.col("enrichVersion"), F.lit(0)) < version) | has_cjk(d["en"], d["it"], d["ru"])
 
 
-def pending(rows: DataFrame, priority: Column, most: int = 24) -> DataFrame:
+def pending(rows: DataFrame, *priority, most: int = 24) -> DataFrame:
     """The first ``most`` rows to enrich."""
-    return rows.orderBy(priority, "id").limit(most)
+    return rows.orderBy(*priority, "id").limit(most)
+
+
+def detailed(rows: DataFrame, details: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    """Rows with the gaps that their detail pages fill: ``details`` gives ``id`` and any of ``DETAILS``."""
+    if details is None:
+        return rows
+    found = details(rows)
+    told = [c for c in DETAILS if c in found.columns]
+    filled = lookup_details(rows, found.select("id", *told), "id", told)
+    if "free" in filled.columns and "priceInfo" in told:
+        filled = filled.withColumn("free", F.coalesce("free", F.when(free_from_price(F.col("priceInfo")), True)))
+    return filled
+
+
+def re_enriched(records: DataFrame, enriched: DataFrame) -> DataFrame:
+    """Stored records with a new enrichment: texts, categories, kind and programme are read anew, gaps are filled."""
+    rows = records.join(enriched, "id", "left")
+    done = F.col("e_categories").isNotNull()
+    new = {
+        "categories": F.when(done, F.col("e_categories")),
+        "descriptions": F.when(done, F.col("e_descriptions")),
+        "titles": F.col("e_titles"),
+        "sessions": F.col("e_sessions"),
+        "enrichVersion": F.when(done, F.lit(VERSION)),
+    }
+    out = {c: F.coalesce(value, F.col(c)) for c, value in new.items()}
+    out |= {c: F.coalesce(F.col(c), F.col(f"e_{c}")) for c in ("time", "durationMin", "address")}
+    out["kind"] = F.when(done, F.when(F.col("e_kind") == "container", "container")).otherwise(F.col("kind"))
+    out["enriched"] = F.col("enriched") | done
+    out["unusual"] = F.when(F.col("e_unusual"), True).otherwise(F.col("unusual"))
+    return merge.with_derived_span(rows.select(*(out.get(c, F.col(c)).alias(c) for c in records.columns)))
+
+
+def judged_by_score(pairs: DataFrame, least: float = dedupe.THRESHOLD) -> DataFrame:
+    """A stand-in for a judge: pairs with a score of ``least`` or more are one event."""
+    return pairs.where(F.col("score") >= least).select("a", "b")
+
+
+def duplicates(index: DataFrame, judge: Callable[[DataFrame], DataFrame] | None, most_pairs: int = 60) -> list[tuple]:
+    """(kept, dropped) ids: entries that share a URL, then judged pairs in order of their score; the older one is kept.
+
+    Greedy, so on the driver, over the entries that share a URL and ``most_pairs`` judged pairs only.
+    """
+    urls = F.array_distinct(F.concat(F.array("u"), F.coalesce(F.transform("l", lambda x: x["url"]), F.array().cast("array<string>"))))
+    known = index.select("id", F.explode(urls).alias("url")).where("url is not null")
+    certain = dedupe.url_duplicates(known)
+    likely = dedupe.candidate_pairs(index.select("id", "s", "e", "v", significant_tokens(F.col("t")).alias("tokens")), venue=True)
+    likely = likely.join(certain, ["a", "b"], "left_anti").orderBy(F.desc("score"), "a", "b").limit(most_pairs)
+    agreed = (judge or judged_by_score)(likely).select("a", "b").join(likely, ["a", "b"])
+    both = certain.withColumn("score", F.lit(float("inf"))).unionByName(agreed)
+    age = index.select("id", F.coalesce("cr", F.lit(0)).alias("cr"))
+    aged = both.join(age.withColumnsRenamed({"id": "a", "cr": "cr_a"}), "a").join(age.withColumnsRenamed({"id": "b", "cr": "cr_b"}), "b")
+    older = F.col("cr_a") <= F.col("cr_b")
+    ordered = aged.select(F.when(older, F.col("a")).otherwise(F.col("b")).alias("keep"), F.when(older, F.col("b")).otherwise(F.col("a")).alias("drop"), "score").orderBy(F.desc("score"), "keep", "drop")
+    return dedupe.greedy_merges([(r.keep, r.drop) for r in ordered.collect()])
+
+
+def held(df: DataFrame) -> DataFrame:
+    """``df`` evaluated once: a checkpoint where the cluster names a folder for them, else kept in memory or on disk."""
+    spark = df.sparkSession
+    return df.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else df.persist()
 
 
 def collect(
@@ -88,27 +153,57 @@ def collect(
     now_seconds: int,
     enrich: Callable[[DataFrame], DataFrame] | None = None,
     regions: DataFrame | None = None,
+    details: Callable[[DataFrame], DataFrame] | None = None,
+    judge: Callable[[DataFrame], DataFrame] | None = None,
+    failed: tuple = (),
+    most_enriched: int = 24,
 ) -> Run:
-    """One run over ``sightings`` (with ``seq``) and the stored ``records``; lazy but for nothing."""
+    """One run over ``sightings`` (with ``seq``) and the stored ``records``.
+
+    Fresh sightings become records; known ones fill gaps of theirs.  Of the fresh ones, then of the known ones whose
+    enrichment failed or is old, ``most_enriched`` are enriched, after their detail pages were read.  Blocked events go.
+    Then entries that are one event are merged.  ``failed`` names the sources that gave nothing this time.
+    """
     spark = records.sparkSession
     index = compact(records, regions)
     live = sightings.where(F.coalesce("endDate", "startDate") >= as_day(today))
-    seen = folded(identified(live, index))
+    seen = held(folded(identified(live, index)).join(identified(live, index).groupBy("id").agg(F.min("seq").alias("_seq")), "id"))
     known, fresh = identity.split_known(seen, records)
-    updated = merge.with_derived_span(merge.upsert(records, known).drop("changed"))
-    enriched = enrich(fresh) if enrich else spark.createDataFrame([], ENRICHED)
+    merged = merge.upsert(records, known.drop("_seq"))
+    changed = merged.where("changed").select("id")
+    updated = merge.with_derived_span(merged.drop("changed"))
+    retried = updated.where(needs_enrichment()).join(known.select("id", "_seq"), "id")
+    fresh, retried = held(detailed(fresh, details)), held(detailed(retried, details))
+    asked = fresh.select("id", F.lit(0).alias("turn"), "_seq").unionByName(retried.select("id", F.lit(1).alias("turn"), "_seq"))
+    asked = pending(asked, "turn", "_seq", most=most_enriched).select("id")
+    both = [df.join(asked, "id", "left_semi").select("id", "title", "startDate", "endDate", "venue", "rawDescription", "categoryHint" if "categoryHint" in df.columns else F.lit(None).cast("string").alias("categoryHint")) for df in (fresh, retried)]
+    enriched = held(enrich(both[0].unionByName(both[1]))) if enrich else spark.createDataFrame([], ENRICHED)
     blocked = enriched.where("e_blocked").select("id")
-    new = to_records(fresh, enriched, now_seconds)
-    every = updated.unionByName(new).join(blocked, "id", "left_anti")
+    new = to_records(fresh.drop("_seq"), enriched, now_seconds)
+    again = re_enriched(retried.drop("_seq"), enriched)
+    rest = updated.join(again.select("id"), "id", "left_anti")
+    every = held(rest.unionByName(again).unionByName(new).join(blocked, "id", "left_anti"))
+    pairs = duplicates(compact(every, regions).where(F.coalesce("e", "s") >= as_day(today)), judge)
+    if pairs:
+        every = held(merge_groups(every, spark.createDataFrame(pairs, "keep string, drop string")))
     after = compact(every, regions).where(F.coalesce("e", "s") >= as_day(today))
-    return Run(every, after, source_stats(live, records))
+    return Run(every, after, source_stats(live, fresh.select("id"), changed, failed))
+
+
+def source_stats(live: DataFrame, fresh: DataFrame, changed: DataFrame, failed: tuple = ()) -> DataFrame:
+    """For each source: sightings fetched, of them with the id of a fresh and of a changed event, and whether it failed."""
+    spark = live.sparkSession
+    own = live.select("source", identity.event_id(F.col("title"), F.col("startDate")).alias("id"))
+    marked = own.join(fresh.select("id", F.lit(True).alias("_fresh")), "id", "left").join(changed.select("id", F.lit(True).alias("_changed")), "id", "left")
+    stats = marked.groupBy("source").agg(F.count("*").alias("fetched"), F.count_if(F.col("_fresh")).alias("fresh"), F.count_if(F.col("_changed")).alias("merged"), F.lit(False).alias("failed"))
+    lost = spark.createDataFrame([(s, 0, 0, 0, True) for s in failed], "source string, fetched long, fresh long, merged long, failed boolean")
+    return stats.join(lost.select("source"), "source", "left_anti").unionByName(lost)
 
 
-def source_stats(live: DataFrame, records: DataFrame) -> DataFrame:
-    """For each source: sightings fetched, of them fresh and merged by hash identity."""
-    own = live.withColumn("id", identity.event_id(F.col("title"), F.col("startDate")))
-    marked = own.join(records.select("id", F.lit(True).alias("_known")), "id", "left")
-    return marked.groupBy("source").agg(F.count("*").alias("fetched"), F.count_if(F.col("_known").isNull()).alias("fresh"), F.count_if(F.col("_known")).alias("merged"))
+def elapsed(log: DataFrame, now_seconds: int, hours: float = 6) -> bool:
+    """Whether a run is due: the last one in ``log(at)`` began ``hours`` ago or more."""
+    last = log.agg(F.max("at")).first()[0]
+    return last is None or now_seconds - last >= hours * 3600
 
 
 def merge_groups(records: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -157,7 +252,8 @@ def located(index: DataFrame, gazetteer: DataFrame, dim: DataFrame, home: str =
     rows = rows.withColumn("address", F.coalesce("a", F.when(F.col("v").isNotNull() & F.col("city_name").isNotNull(), F.concat_ws(", ", "v", "city_name", F.lit("Italia")))))
     asked = rows.where("address is not null").withColumn("q", F.lower(F.trim("address")))
     jobs = asked.groupBy("city", "q").agg(F.first("c_lat").alias("c_lat"), F.first("c_lng").alias("c_lng"))
-    answers = gazetteer.select(F.lower(F.trim("q")).alias("_q"), F.col("lat").alias("g_lat"), F.col("lng").alias("g_lng")).dropDuplicates(["_q"])
+    answers = gazetteer.select(F.lower(F.trim("q")).alias("_q"), F.col("lat").alias("g_lat"), F.col("lng").alias("g_lng"))
+    answers = answers.groupBy("_q").agg(F.min(F.struct("g_lat", "g_lng")).alias("p")).select("_q", "p.g_lat", "p.g_lng")
     tries = F.array(F.struct(F.lit(0).alias("rank"), F.col("q").alias("_q")), F.struct(F.lit(1).alias("rank"), F.concat_ws(", ", F.trim(F.split_part("q", F.lit(","), F.lit(1))), "city").alias("_q")))
     hits = jobs.select("city", "q", "c_lat", "c_lng", F.inline(tries)).join(answers, "_q")
     near = hits.where(~misplaced(F.col("g_lat"), F.col("g_lng"), F.col("c_lat"), F.col("c_lng")))
