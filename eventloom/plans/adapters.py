@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventloom.functions.text import ENTITIES, decode_entities, significant_tokens
 from eventloom.schema import CATEGORIES
 
 TODAY = "1998-07-04"
@@ -56,15 +57,26 @@ SIGHT = """sight AS (
   FROM events)"""
 
 
-def doc_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as index entries: title tokens from the first words, days from the id."""
-    from eventloom.functions.text import significant_tokens
+def page_title():
+    return decode_entities(F.regexp_extract("html", r"(?s)<title[^>]*>(.*?)</title>", 1))
 
-    key = F.col("doc_id")
+
+def page_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as index entries: tokens of their whole titles, days from the id."""
+    key = F.col("page_id")
     start = F.date_add(F.lit("1998-01-01").cast("date"), (key % 60).cast("int"))
-    return table(spark, sf_dir, "documents").select(
-        key.alias("id"), start.alias("s"), F.date_add(start, (key % 9).cast("int")).alias("e"), significant_tokens(F.substring("text", 1, 120), stopwords=("",)).alias("tokens")
-    )
+    return table(spark, sf_dir, "pages").select(key.alias("id"), start.alias("s"), F.date_add(start, (key % 9).cast("int")).alias("e"), significant_tokens(page_title(), stopwords=("",)).alias("tokens"))
+
+
+def read_entities(text: str) -> str:
+    """Character references as characters, in SQL."""
+    said = "regexp_extract(p, '^(x[0-9a-fA-F]+|[0-9]+);', 1)"
+    code = f"CASE WHEN {said} LIKE 'x%' THEN CAST('0' || {said} AS INTEGER) ELSE TRY_CAST({said} AS INTEGER) END"
+    out = f"array_to_string(list_transform(string_split({text}, '&#'), lambda p, i: CASE WHEN i = 1 THEN p WHEN {said} = '' THEN '&#' || p ELSE chr({code}) || substr(p, length({said}) + 2) END), '')"
+    for name in [*(n for n in ENTITIES if n != "amp"), "amp"]:
+        value = ENTITIES[name].replace("'", "''")
+        out = f"replace({out}, '&{name};', '{value}')"
+    return f"trim(regexp_replace({out}, '[\\s\\x{{00A0}}]+', ' ', 'g'))"
 
 
 _NORM = "trim(regexp_replace(strip_accents(lower({0})), '[^a-z0-9]+', ' ', 'g'))"
@@ -74,7 +86,8 @@ def norm(expression: str) -> str:
     return _NORM.format(expression)
 
 
-DOCSPAN = f"""docspan AS (
-  SELECT doc_id AS id, DATE '1998-01-01' + CAST(doc_id % 60 AS INTEGER) AS s, DATE '1998-01-01' + CAST(doc_id % 60 + doc_id % 9 AS INTEGER) AS e,
-    list_filter(list_distinct(string_split({norm("substring(text, 1, 120)")}, ' ')), lambda w: length(w) >= 5 AND NOT regexp_full_match(w, '[0-9]+')) AS tokens
-  FROM documents)"""
+PAGE_TITLE = read_entities("regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)")
+PAGESPAN = f"""pagespan AS (
+  SELECT page_id AS id, DATE '1998-01-01' + CAST(page_id % 60 AS INTEGER) AS s, DATE '1998-01-01' + CAST(page_id % 60 + page_id % 9 AS INTEGER) AS e,
+    list_filter(list_distinct(string_split({norm(PAGE_TITLE)}, ' ')), lambda w: length(w) >= 5 AND NOT regexp_full_match(w, '[0-9]+')) AS tokens
+  FROM pages)"""

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventloom.functions import geo
+from eventloom.functions.geo_tables import rows as provinces
 from eventloom.plans.adapters import table
 from eventloom.plans.registry import query
 
-#: Six fixed cities stand in for the centres, so that SQL can list them.
+#: Some cities, each with a point.
 _CENTRES = {"genova": (44.4073, 8.9339), "milano": (45.4642, 9.19), "roma": (41.8933, 12.4829), "napoli": (40.8359, 14.2488), "torino": (45.0703, 7.6869), "trieste": (45.6496, 13.7773)}
 _VALUES = "centre(name, c_lat, c_lng) AS (VALUES " + ", ".join(f"('{n}', {a}::DOUBLE, {b}::DOUBLE)" for n, (a, b) in _CENTRES.items()) + ")"
 _POINT = "point AS (SELECT s_suppkey AS id, 37 + (s_suppkey * 37 % 1000) / 100.0::DOUBLE AS lat, 7 + (s_suppkey * 91 % 1100) / 100.0::DOUBLE AS lng, s_suppkey % 7 AS k FROM supplier)"
@@ -33,9 +34,14 @@ def q_region_rollup(spark, sf_dir):
     return rows.groupBy(F.col("r_name").alias("region")).agg(F.count("*").alias("suppliers"), F.countDistinct("n_nationkey").alias("nations"))
 
 
-@query(f"WITH {_VALUES}, {_POINT} SELECT id, arg_min(name, (lat - c_lat) ^ 2 + ((lng - c_lng) * 0.73) ^ 2) AS name FROM point, centre GROUP BY 1")
+_CAPITALS = "centre(name, c_lat, c_lng) AS (VALUES " + ", ".join(f"('{code}', {lat}::DOUBLE, {lng}::DOUBLE)" for code, _, _, lat, lng in provinces()) + ")"
+
+
+@query(f"WITH {_CAPITALS}, {_POINT} SELECT id, arg_min(name, (lat - c_lat) ^ 2 + ((lng - c_lng) * 0.73) ^ 2) AS name FROM point, centre GROUP BY 1")
 def q_nearest(spark, sf_dir):
-    return geo.nearest(_points(spark, sf_dir), _centres(spark), "id", "name")
+    """Of all provinces' capitals."""
+    centres = geo.geo_dim(spark).select(F.col("province").alias("name"), F.col("lat").alias("c_lat"), F.col("lng").alias("c_lng"))
+    return geo.nearest(_points(spark, sf_dir), centres, "id", "name")
 
 
 @query(f"WITH {_POINT} SELECT id, round({_KM.format(a='44.4073', b='8.9339')}, 4) AS km FROM point")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventloom.functions import dates, text
-from eventloom.plans.adapters import table
+from eventloom.functions.geo import geo_dim
+from eventloom.plans.adapters import PAGE_TITLE, page_title, read_entities, table
 from eventloom.plans.registry import query
+from eventloom.sources import listings
 from eventloom.sources.feeds import forecast, widest
 from eventloom.sources.html import page_facts
 
@@ -106,8 +108,11 @@ def q_i18n_pick(spark, sf_dir):
     return _docs(spark, sf_dir).select(key.alias("id"), text.localized(texts, "it").alias("shown"))
 
 
+_HEADLINE = read_entities("regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g')")
+
+
 @query(
-    """SELECT page_id AS id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS headline,
+    f"""SELECT page_id AS id, {_HEADLINE} AS headline,
          regexp_extract(html, '<a[^>]+href="([^"]*)"', 1) AS first_href, CAST(len(regexp_extract_all(html, '<a[^>]+href=')) AS INTEGER) AS n_links FROM pages"""
 )
 def q_html_extract(spark, sf_dir):
@@ -115,7 +120,38 @@ def q_html_extract(spark, sf_dir):
     return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), *(c.alias(n) for n, c in facts.items()))
 
 
-@query()
+@query(f"SELECT page_id AS id, {PAGE_TITLE} AS title FROM pages")
 def q_entities(spark, sf_dir):
-    heads = F.regexp_extract("html", r"(?s)<title[^>]*>(.*?)</title>", 1)
-    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), text.decode_entities(heads).alias("title"))
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), page_title().alias("title"))
+
+
+@query(
+    """SELECT o_orderkey AS id, 'Sagra ' || o_orderkey || ' & Co' AS title, 'https://n.example/' || o_orderkey AS url, ['genova', 'bergamo', 'laquila'][o_orderkey % 4 + 1] AS city, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day,
+         CASE WHEN o_orderkey % 5 > 0 THEN CAST(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 5 AS INTEGER) AS VARCHAR) END AS finish FROM orders WHERE o_orderkey % 4 < 3"""
+)
+def q_national(spark, sf_dir):
+    """Cards of a national search, one a page; those of an unknown province are dropped."""
+    key, start = F.col("o_orderkey").cast("string"), F.col("o_orderdate").cast("date")
+    shown = lambda d: F.date_format(d, "dd/MM/yyyy")
+    place = F.element_at(F.array(*map(F.lit, ["Recco (GE)", "Lovere (BG)", "Scoppito (AQ)", "Altrove (ZZ)"])), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    html = F.concat(
+        F.lit('<div class="risultatoEvento"><a href="/'), key, F.lit('">x</a><h3 class="titolo">Sagra '), key, F.lit(' &amp; Co</h3><div><b>Dal</b> '), shown(start),
+        F.when(F.col("o_orderkey") % 5 > 0, F.concat(F.lit(" <b>Al</b> "), shown(F.date_add(start, (F.col("o_orderkey") % 5).cast("int"))))).otherwise(""), F.lit('</div><span class="corsivo">'), place, F.lit("</span></div>"),
+    )
+    rows = listings.national_search(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), html.alias("html")), "n", "https://n.example", geo_dim(spark))
+    city = F.replace("city", F.lit("-"), F.lit(""))
+    return rows.select("id", "title", "url", city.alias("city"), F.col("startDate").cast("string").alias("day"), F.col("endDate").cast("string").alias("finish"))
+
+
+@query(
+    """SELECT o_orderkey AS id, 'Mostra ' || o_orderkey AS title, 'Sala ' || o_orderkey % 7 AS venue, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day,
+         lpad(CAST(9 + o_orderkey % 12 AS VARCHAR), 2, '0') || ':30' AS time, 'art' AS hint FROM orders"""
+)
+def q_palace(spark, sf_dir):
+    """Cards whose days are words: ``Sala 3 7 lug 1996, ore 9.30``."""
+    key, start = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    month = F.get(F.array(*map(F.lit, dates.MONTHS)), F.month(start) - 1)
+    said = F.concat(F.lit("Sala "), (key % 7).cast("string"), F.lit(" "), F.dayofmonth(start).cast("string"), F.lit(" "), month, F.lit("aio. "), F.year(start).cast("string"), F.lit(", ore "), (9 + key % 12).cast("string"), F.lit(".30"))
+    html = F.concat(F.lit('<article class="exhibition-item"><h2 class="exhibition-title"><a href="/'), key.cast("string"), F.lit('">Mostra '), key.cast("string"), F.lit('</a></h2><p class="exhibition-type">Arte</p><p class="exhibition-info">'), said, F.lit("</p></article>"))
+    rows = listings.palace_cards(table(spark, sf_dir, "orders").select(key.alias("id"), html.alias("html")), "p", "https://p.example", "genova")
+    return rows.select("id", "title", "venue", F.col("startDate").cast("string").alias("day"), "time", F.col("categoryHint").alias("hint"))

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from eventloom import pipeline
 from eventloom.functions.text import contained, jaccard, normalize_title, significant_tokens, slug
 from eventloom.operators import dedupe, identity, merge
-from eventloom.plans.adapters import DOCSPAN, SPANS, doc_spans, norm, sightings, spans, table
+from eventloom.plans.adapters import PAGE_TITLE, PAGESPAN, SPANS, norm, page_spans, page_title, sightings, spans, table
 from eventloom.plans.registry import query
+from eventloom.schema import RECORDS, SIGHTINGS
+from eventloom.sinks.store import state_root
+from eventloom.streaming.upsert import KeyedTable
 
 _PLACE = "regexp_replace(split_part(split_part(url, '://', 2), '?', 1), '#.*$', '')"
 
@@ -16,10 +20,10 @@ def _place():
     return F.regexp_replace(F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("?"), F.lit(1)), "#.*$", "")
 
 
-@query(f"SELECT doc_id AS id, substring(sha256({norm('substring(text, 1, 60)')} || '|' || CAST(DATE '2026-01-01' + CAST(doc_id % 300 AS INTEGER) AS VARCHAR)), 1, 12) AS event_id FROM documents")
+@query(f"SELECT doc_id AS id, substring(sha256({norm('text')} || '|' || CAST(DATE '2026-01-01' + CAST(doc_id % 300 AS INTEGER) AS VARCHAR)), 1, 12) AS event_id FROM documents")
 def q_event_id(spark, sf_dir):
     day = F.date_add(F.lit("2026-01-01").cast("date"), (F.col("doc_id") % 300).cast("int"))
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), identity.event_id(F.substring("text", 1, 60), day).alias("event_id"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), identity.event_id(F.col("text"), day).alias("event_id"))
 
 
 @query(f"SELECT doc_id AS id, {norm('text')} AS title FROM documents")
@@ -44,27 +48,29 @@ def q_tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_join(F.array_sort(tokens), " ").alias("tokens"))
 
 
+_SHARING = "pagespan a JOIN pagespan b ON a.id < b.id AND a.s <= b.e AND b.s <= a.e AND list_has_any(a.tokens, b.tokens)"
+
+
 @query(
-    f"""WITH {DOCSPAN} SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.tokens, b.tokens)) / len(list_distinct(list_concat(a.tokens, b.tokens))), 6) AS jaccard,
-          len(list_intersect(a.tokens, b.tokens)) = least(len(a.tokens), len(b.tokens)) AS within
-        FROM docspan a JOIN docspan b ON a.id + 20 = b.id WHERE len(list_distinct(list_concat(a.tokens, b.tokens))) > 0 AND len(a.tokens) > 0 AND len(b.tokens) > 0"""
+    f"""WITH {PAGESPAN} SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.tokens, b.tokens)) / len(list_distinct(list_concat(a.tokens, b.tokens))), 6) AS jaccard,
+          len(list_intersect(a.tokens, b.tokens)) = least(len(a.tokens), len(b.tokens)) AS within FROM {_SHARING}"""
 )
 def q_jaccard(spark, sf_dir):
-    rows = doc_spans(spark, sf_dir).where(F.size("tokens") > 0)
-    left, right = rows.select(F.col("id").alias("a"), F.col("tokens").alias("x")), rows.select(F.col("id").alias("b"), F.col("tokens").alias("y"), (F.col("id") - 20).alias("a"))
-    return left.join(right, "a").select("a", "b", F.round(jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"), contained(F.col("x"), F.col("y")).alias("within"))
+    pairs = dedupe.overlapping_pairs(page_spans(spark, sf_dir))
+    x, y = F.col("a_tokens"), F.col("b_tokens")
+    return pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.round(jaccard(x, y), 6).alias("jaccard"), contained(x, y).alias("within"))
 
 
 @query(
-    f"""WITH {DOCSPAN}, p AS (SELECT a.id AS a, b.id AS b,
+    f"""WITH {PAGESPAN}, p AS (SELECT a.id AS a, b.id AS b,
             4.0 * len(list_intersect(a.tokens, b.tokens)) / len(list_distinct(list_concat(a.tokens, b.tokens))) + CASE WHEN a.s = b.s THEN 2 ELSE 0 END
             + CASE WHEN a.e = b.e THEN 1 ELSE 0 END + CASE WHEN len(list_intersect(a.tokens, b.tokens)) = least(len(a.tokens), len(b.tokens)) THEN 2 ELSE 0 END AS score
-          FROM docspan a JOIN docspan b ON a.id < b.id AND a.s <= b.e AND b.s <= a.e AND list_has_any(a.tokens, b.tokens))
-        SELECT a, b, round(score, 6) AS score FROM p WHERE score >= 2 ORDER BY p.score DESC, a, b LIMIT 60"""
+          FROM {_SHARING})
+        SELECT a, b, round(score, 6) AS score FROM p WHERE score >= 2 ORDER BY round(p.score, 9) DESC, a, b LIMIT 60"""
 )
 def q_fuzzy_pairs(spark, sf_dir):
-    pairs = dedupe.candidate_pairs(doc_spans(spark, sf_dir))
-    return pairs.orderBy(F.desc("score"), "a", "b").limit(60).select("a", "b", F.round("score", 6).alias("score"))
+    pairs = dedupe.candidate_pairs(page_spans(spark, sf_dir))
+    return pairs.orderBy(F.desc(F.round("score", 9)), "a", "b").limit(60).select("a", "b", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH u AS (SELECT page_id AS id, {_PLACE} AS place FROM pages), f AS (SELECT place, min(id) AS a FROM u GROUP BY 1 HAVING count(*) > 1) SELECT a, id AS b FROM u JOIN f USING (place) WHERE id > a")
@@ -174,7 +180,8 @@ def q_enrich_apply(spark, sf_dir):
 
 @query(
     f"""WITH {SPANS} SELECT a.id, a.s <= b.s AS older_first, CASE WHEN a.s <= b.s THEN coalesce(CAST(a.e AS VARCHAR), CAST(b.e AS VARCHAR)) ELSE coalesce(CAST(b.e AS VARCHAR), CAST(a.e AS VARCHAR)) END AS e,
-          array_to_string(list_distinct([a.c1, a.c2, b.c1, b.c2]), 'x') IS NOT NULL AS c_known, a.f OR b.f AS f, a.x OR b.x AS x
+          array_to_string(list_filter(CASE WHEN a.s <= b.s THEN [a.c1, a.c2, b.c1, b.c2] ELSE [b.c1, b.c2, a.c1, a.c2] END,
+            lambda c, i: list_position(CASE WHEN a.s <= b.s THEN [a.c1, a.c2, b.c1, b.c2] ELSE [b.c1, b.c2, a.c1, a.c2] END, c) = i)[1:3], ' ') AS c, a.f OR b.f AS f, a.x OR b.x AS x
         FROM spans a JOIN spans b ON b.id = a.id + 1 WHERE a.id % 2 = 0"""
 )
 def q_merge_pair(spark, sf_dir):
@@ -186,16 +193,17 @@ def q_merge_pair(spark, sf_dir):
     older = F.col("l_s") <= F.col("r_s")
     named = both.select("pair", older.alias("older_first"), *(F.when(older, F.col(f"l_{c}")).otherwise(F.col(f"r_{c}")).alias(f"p_{c}") for c in rows.columns), *(F.when(older, F.col(f"r_{c}")).otherwise(F.col(f"l_{c}")).alias(f"q_{c}") for c in rows.columns))
     merged = merge.merge_pairs("p_", "q_", ("e",))
-    return named.select(F.col("pair").alias("id"), "older_first", merged["e"].alias("e"), (F.size(merged["c"]) > 0).alias("c_known"), merged["f"].alias("f"), merged["x"].alias("x"))
+    return named.select(F.col("pair").alias("id"), "older_first", merged["e"].alias("e"), F.array_join(merged["c"], " ").alias("c"), merged["f"].alias("f"), merged["x"].alias("x"))
 
 
 @query("SELECT l_partkey AS id, count(DISTINCT l_suppkey) - CAST(bool_or(l_suppkey = l_partkey % 100) AS INTEGER) AS n_links, CAST(sum(DISTINCT CASE WHEN l_suppkey <> l_partkey % 100 THEN l_suppkey ELSE 0 END) AS BIGINT) AS check_sum FROM lineitem GROUP BY 1")
 def q_links(spark, sf_dir):
-    link = F.struct(F.col("l_returnflag").alias("source"), F.col("l_suppkey").cast("string").alias("url"), F.lit(None).cast("string").alias("image"))
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.collect_list(link).alias("links"))
-    folded = merge.fold_links(F.col("links"), (F.col("l_partkey") % 100).cast("string"))
-    total = F.aggregate(folded, F.lit(0).cast("long"), lambda a, x: a + x["url"].cast("long"))
-    return rows.select(F.col("l_partkey").alias("id"), F.size(folded).cast("long").alias("n_links"), total.alias("check_sum"))
+    own = (F.col("l_partkey") % 100).cast("string")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), F.struct("l_orderkey", "l_linenumber").alias("seq"), F.col("l_returnflag").alias("source"), F.col("l_suppkey").cast("string").alias("url"), F.lit(None).cast("string").alias("image"), own.alias("own"))
+    links = merge.unite_links(rows.where("url <> own"), "id")
+    total = F.aggregate("links", F.lit(0).cast("long"), lambda a, x: a + x["url"].cast("long"))
+    every = rows.select("id").distinct().join(links, "id", "left")
+    return every.select("id", F.coalesce(F.size("links"), F.lit(0)).cast("long").alias("n_links"), F.coalesce(total, F.lit(0)).alias("check_sum"))
 
 
 @query(
@@ -227,7 +235,8 @@ _SESSIONS = "SELECT l_orderkey AS id, CAST(min(l_shipdate) AS DATE) AS a, CAST(m
         FROM o LEFT JOIN z USING (id)"""
 )
 def q_container_span(spark, sf_dir):
-    days = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set(F.struct(F.col("l_shipdate").cast("date").alias("date"))).alias("sessions"))
+    days = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.min(F.struct(F.col("l_shipdate").cast("date").alias("date"))).alias("a"), F.max(F.struct(F.col("l_shipdate").cast("date").alias("date"))).alias("b"))
+    days = days.select("id", F.array("a", "b").alias("sessions"))  # the span needs no others
     key, s = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
     rows = table(spark, sf_dir, "orders").select(key.alias("id"), s.alias("startDate"), F.date_add(s, 300).alias("endDate"), F.when(key % 2 == 0, "container").alias("kind"))
     out = merge.with_derived_span(rows.join(days, "id", "left"))
@@ -281,3 +290,34 @@ def q_nested_sum(spark, sf_dir):
     nested = rows.groupBy("day").agg(F.collect_list(F.struct("event_type", "n")).alias("sources"))
     total = F.aggregate("sources", F.lit(0).cast("long"), lambda a, x: a + F.when(x["event_type"] != "error", x["n"]).otherwise(0))
     return nested.select("day", total.alias("total"))
+
+
+@query(
+    "SELECT user_id AS id, "
+    + ", ".join(f"arg_min(event_id, event_id % 3 * 1000000000 + event_id) FILTER (WHERE event_type = '{k}') AS {c}" for c, k in _FIELDS.items())
+    + " FROM events GROUP BY 1"
+)
+def q_stream_upsert(spark, sf_dir):
+    """Three micro-batches, one after another, as the stream folds them."""
+    rows = _fields(sightings(spark, sf_dir))
+    kept = KeyedTable(spark, state_root(spark, "stream-table"), "id", list(_FIELDS), buckets=4)
+    for number in range(3):
+        kept.fold(rows.where(F.col("seq") % 3 == number), number)
+    return kept.read().select("id", *_FIELDS)
+
+
+_DAY = "DATE '2026-01-01' + CAST(page_id % 40 AS INTEGER)"
+
+
+@query(
+    f"""WITH p AS (SELECT page_id, {PAGE_TITLE} AS title, {_DAY} AS day, substring(sha256({norm(PAGE_TITLE)} || '|' || CAST({_DAY} AS VARCHAR)), 1, 12) AS id FROM pages)
+        SELECT id, arg_min(title, page_id) AS title, CAST(min(day) AS VARCHAR) AS day, CAST(count(*) - 1 AS INTEGER) AS n_links FROM p WHERE day >= DATE '2026-01-10' GROUP BY id"""
+)
+def q_collect(spark, sf_dir):
+    """A first run over the pages as sightings; no pairs are judged, so it ends before they would be merged."""
+    key = F.col("page_id")
+    rows = table(spark, sf_dir, "pages").select(key.alias("seq"), page_title().alias("title"), F.date_add(F.lit("2026-01-01").cast("date"), (key % 40).cast("int")).alias("startDate"), F.concat(F.lit("https://p/"), key.cast("string")).alias("url"), F.lit("pages").alias("source"))
+    seen = {f.name: f.dataType for f in spark.createDataFrame([], SIGHTINGS).schema}
+    rows = rows.select(*((F.col(n) if n in rows.columns else F.lit(None)).cast(t).alias(n) for n, t in seen.items()))
+    run = pipeline.collect(rows, spark.createDataFrame([], RECORDS), "2026-01-10", 1767225600, judge=lambda pairs: pairs.limit(0))
+    return run.records.select("id", "title", F.col("startDate").cast("string").alias("day"), F.size(F.coalesce("altLinks", F.array())).alias("n_links"))

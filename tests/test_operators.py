@@ -263,13 +263,31 @@ def test_parsing_of_records(spark):
     assert "id" in names and {"id", "t", "s", "e", "c", "v", "g", "rg"} <= set(full.columns) and full.count() == 0
 
 
-def test_stream_upserts_like_the_batch(spark, tmp_path):
-    from eventloom.streaming.upsert import upsert_stream
+def test_stream_upserts_fill_gaps(spark, tmp_path):
+    from eventloom.streaming.upsert import KeyedTable, upsert_stream
 
-    schema = "id string, seq long, venue string"
-    for k, rows in enumerate([[("a", 1, None), ("b", 2, "B")], [("a", 3, "A"), ("c", 4, None)]]):
+    schema = "id string, seq long, venue string, startDate date, endDate date"
+    d = lambda n: dt.date(2026, 7, n)
+    table = KeyedTable(spark, f"file://{tmp_path}/t", "id", ["venue", "startDate", "endDate"], buckets=3)
+    for rows in [[("a", 1, None, d(3), None), ("b", 2, "B", d(3), None)], [("a", 3, "A", d(1), None), ("b", 5, None, d(4), None), ("c", 4, None, d(3), d(9))]]:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        versions = store.Versions(spark, f"file://{tmp_path}/t")
         stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
-        upsert_stream(stream, versions, f"{tmp_path}/c", "id", ["venue"]).trigger(availableNow=True).start().awaitTermination()
-    assert {(r.id, r.venue) for r in versions.read().collect()} == {("a", "A"), ("b", "B"), ("c", None)}
+        upsert_stream(stream, table, f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    expected = {("a", "A", d(1), d(3)), ("b", "B", d(3), d(4)), ("c", None, d(3), d(9))}
+    assert {(r.id, r.venue, r.startDate, r.endDate) for r in table.read().collect()} == expected
+    table.fold(spark.createDataFrame([("b", 5, None, d(4), None)], schema), 1)  # a batch that comes again
+    assert {(r.id, r.venue, r.startDate, r.endDate) for r in table.read().collect()} == expected
+
+
+def test_stream_table_expires(spark, tmp_path):
+    from eventloom.streaming.upsert import KeyedTable
+
+    now = [1782900000]
+    table = KeyedTable(spark, f"file://{tmp_path}/t", "id", ["day"], buckets=1, last_day="day", now=lambda: now[0])
+    schema = "id string, seq long, day date"
+    table.fold(spark.createDataFrame([("old", 1, dt.date(2026, 1, 1)), ("new", 2, dt.date(2026, 12, 1))], schema), 0)
+    assert {r.id for r in table.read().collect()} == {"old", "new"}  # an hour at least
+    now[0] += 7200
+    assert {r.id for r in table.read().collect()} == {"new"}
+    table.fold(spark.createDataFrame([("next", 3, dt.date(2026, 12, 1))], schema), 1)
+    assert {r.id for r in table._read(table._folders()).collect()} == {"new", "next"}
