@@ -32,8 +32,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     again = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     if not again:
         return kept
-    # rows with equal ids are one document: one of them stays
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    # rows with equal ids are one document: that with the smallest hash stays, however they are dealt out
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    first = kept.where("doc_id is not null").groupBy("doc_id").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("_doc")).select("_doc.*")
+    return first.unionByName(kept.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

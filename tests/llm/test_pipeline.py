@@ -49,3 +49,10 @@ def test_stages_take_odd_tables(spark, sf_dir):
     empty = spark.createDataFrame([], schema)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0, name
+
+
+def test_which_row_of_an_id_stays_does_not_depend_on_partitions(spark, sf_dir):
+    rows = [(i % 5, f"text {i} " + " ".join(f"w{j}" for j in range(30)) if i % 2 else f"other words {i}", "en", "a", i) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [sorted(map(tuple, corpus_pipeline.near_duplicates(spark, docs.repartition(n), sf_dir).collect())) for n in (1, 7)]
+    assert kept[0] == kept[1] and len({r[0] for r in kept[0]}) == len(kept[0])
