@@ -42,3 +42,8 @@ def pages(text: str | None) -> int:
 
 def names(text: str | None) -> list[str]:
     return [x for x in (y.strip().lstrip("@") for y in (text or "").split(",")) if x]
+
+
+def is_operator(owner: str, chat: int) -> bool:
+    """Whether a chat is the owner's; no one's is where none is named."""
+    return owner != "" and str(chat) == owner

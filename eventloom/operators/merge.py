@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from eventloom.functions.text import free_from_price
 
 LINKS = "array<struct<source:string,url:string,image:string>>"
-FILLED = ("time", "venue", "address", "priceInfo", "rawDescription", "image")
+FILLED = ("time", "venue", "address", "priceInfo", "rawDescription", "image", "city")
 
 
 def first_known(column: str, order: str = "seq") -> Column:

@@ -47,3 +47,8 @@ def digest_window(digest: Column, digest_hour: Column, today: Column, hour: Colu
     daily = F.struct(F.date_add(today, 1).alias("start"), F.date_add(today, 1).alias("end"))
     weekly = F.struct(weekend_from(today).alias("start"), weekend_to(today).alias("end"))
     return F.when(due & (digest == "daily"), daily).when(due & (digest == "weekly") & (weekday(today) == 5), weekly)
+
+
+def known_users(chats: DataFrame) -> DataFrame:
+    """Users that ever wrote, once each, in order."""
+    return chats.where("user_id is not null").select("user_id").distinct().orderBy("user_id")

@@ -242,20 +242,52 @@ def repaired(records: DataFrame) -> DataFrame:
     return new.join(old, "id").where(~F.col("startDate").eqNullSafe(F.col("_s")) | ~F.col("endDate").eqNullSafe(F.col("_e"))).drop("_s", "_e")
 
 
-def located(index: DataFrame, gazetteer: DataFrame, dim: DataFrame, home: str = "genova") -> DataFrame:
+#: Degrees around a city's centre in which a bounded question looks.
+BOX = 0.7
+
+
+def located(index: DataFrame, gazetteer: DataFrame, dim: DataFrame, home: str = "genova", cache: DataFrame | None = None, now_seconds: int = 0, keep_misses: int = 7 * 86400) -> DataFrame:
     """``id, lat, lng, found`` of entries with an address: looked up once for each city and address.
 
-    ``gazetteer(q, lat, lng)`` answers for a full address, or for ``venue, city``; a point too far from its city is refused.
+    ``gazetteer(q, lat, lng)`` answers questions; four are asked, and the first that is answered counts: the address in a
+    box around its city, the address anywhere, and what stands before its first comma with the city's name and with the
+    country's.  But for the first, a point too far from the city is refused.  ``cache(city, q, lat, lng, expires_at)`` says
+    what was found before (``answered`` gives its next contents): misses, without a point, until they expire.
     """
+    asked, best = _answers(index, gazetteer, dim, home, cache, now_seconds)
+    return asked.join(best, ["city", "q"], "left").select("id", F.col("p.g_lat").alias("lat"), F.col("p.g_lng").alias("lng"), F.col("p.g_lat").isNotNull().alias("found"))
+
+
+def answered(index: DataFrame, gazetteer: DataFrame, dim: DataFrame, home: str = "genova", cache: DataFrame | None = None, now_seconds: int = 0, keep_misses: int = 7 * 86400) -> DataFrame:
+    """The cache after ``located``: hits without an end, misses until ``keep_misses`` seconds from when they were asked."""
+    asked, best = _answers(index, gazetteer, dim, home, cache, now_seconds)
+    jobs = asked.select("city", "q").distinct().join(best, ["city", "q"], "left")
+    hit = F.col("p.g_lat").isNotNull()
+    until = F.when(~hit, F.coalesce("until", F.lit(now_seconds + keep_misses).cast("long")))
+    return jobs.select("city", "q", F.col("p.g_lat").alias("lat"), F.col("p.g_lng").alias("lng"), until.alias("expires_at"))
+
+
+def _answers(index: DataFrame, gazetteer: DataFrame, dim: DataFrame, home: str, cache: DataFrame | None, now_seconds: int) -> tuple[DataFrame, DataFrame]:
+    """(entries with ``city`` and question ``q``; ``city, q, p, until`` of those that were answered or are known misses)."""
     centres = dim.select(F.col("city_slug").alias("city"), "city_name", F.col("lat").alias("c_lat"), F.col("lng").alias("c_lng"))
     rows = index.withColumn("city", F.coalesce("ct", F.lit(home))).join(F.broadcast(centres), "city", "left")
     rows = rows.withColumn("address", F.coalesce("a", F.when(F.col("v").isNotNull() & F.col("city_name").isNotNull(), F.concat_ws(", ", "v", "city_name", F.lit("Italia")))))
     asked = rows.where("address is not null").withColumn("q", F.lower(F.trim("address")))
-    jobs = asked.groupBy("city", "q").agg(F.first("c_lat").alias("c_lat"), F.first("c_lng").alias("c_lng"))
-    answers = gazetteer.select(F.lower(F.trim("q")).alias("_q"), F.col("lat").alias("g_lat"), F.col("lng").alias("g_lng"))
-    answers = answers.groupBy("_q").agg(F.min(F.struct("g_lat", "g_lng")).alias("p")).select("_q", "p.g_lat", "p.g_lng")
-    tries = F.array(F.struct(F.lit(0).alias("rank"), F.col("q").alias("_q")), F.struct(F.lit(1).alias("rank"), F.concat_ws(", ", F.trim(F.split_part("q", F.lit(","), F.lit(1))), "city").alias("_q")))
+    jobs = asked.groupBy("city", "q").agg(F.min("c_lat").alias("c_lat"), F.min("c_lng").alias("c_lng"))
+    point = "struct<g_lat:double,g_lng:double>"
+    known = jobs.select("city", "q").limit(0).select("city", "q", F.lit(None).cast(point).alias("p"), F.lit(None).cast("long").alias("until"))
+    if cache is not None:
+        live = cache.where((F.col("lat").isNotNull()) | (F.col("expires_at") > now_seconds))
+        known = live.groupBy("city", "q").agg(F.min(F.struct(F.col("lat").cast("double").alias("g_lat"), F.col("lng").cast("double").alias("g_lng"))).alias("p"), F.max("expires_at").alias("until"))
+        jobs = jobs.join(known, ["city", "q"], "left_anti")
+    answers = gazetteer.select(F.lower(F.trim("q")).alias("_q"), F.struct(F.col("lat").alias("g_lat"), F.col("lng").alias("g_lng")).alias("p"))
+    venue = F.trim(F.split_part("q", F.lit(","), F.lit(1)))
+    short = F.when((venue != "") & (venue != F.col("q")), venue)
+    tries = F.array(*(F.struct(F.lit(k).alias("rank"), question.alias("_q")) for k, question in enumerate((F.col("q"), F.col("q"), F.concat(short, F.lit(", "), "city"), F.concat(short, F.lit(", italia"))))))
     hits = jobs.select("city", "q", "c_lat", "c_lng", F.inline(tries)).join(answers, "_q")
-    near = hits.where(~misplaced(F.col("g_lat"), F.col("g_lng"), F.col("c_lat"), F.col("c_lng")))
-    best = near.groupBy("city", "q").agg(F.min_by(F.struct("g_lat", "g_lng"), "rank").alias("p"))
-    return asked.join(best, ["city", "q"], "left").select("id", F.col("p.g_lat").alias("lat"), F.col("p.g_lng").alias("lng"), F.col("p").isNotNull().alias("found"))
+    boxed = F.coalesce((F.abs(F.col("p.g_lat") - F.col("c_lat")) <= BOX) & (F.abs(F.col("p.g_lng") - F.col("c_lng")) <= BOX), F.lit(False))
+    # outside the box, the gazetteer's first answer is the only one that is looked at
+    first = hits.groupBy("city", "q", "rank").agg(F.min("p").alias("_any"), F.min(F.when(boxed, F.col("p"))).alias("_boxed"), F.min("c_lat").alias("c_lat"), F.min("c_lng").alias("c_lng"))
+    p = F.when(F.col("rank") == 0, F.col("_boxed")).otherwise(F.when(~misplaced(F.col("_any.g_lat"), F.col("_any.g_lng"), F.col("c_lat"), F.col("c_lng")), F.col("_any")))
+    found = first.withColumn("p", p).where("p is not null").groupBy("city", "q").agg(F.min_by("p", "rank").cast(point).alias("p"))
+    return asked, found.withColumn("until", F.lit(None).cast("long")).unionByName(known)

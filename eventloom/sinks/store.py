@@ -76,3 +76,20 @@ class Versions:
     def read(self) -> DataFrame:
         latest = self._pointers().orderBy(F.desc("at"), F.desc("folder")).first()
         return self.spark.read.parquet(f"{self.root}/{latest.folder}")
+
+
+class Lock:
+    """Mutual exclusion by a file that only one can create; one older than ``seconds`` was left behind and counts for nothing."""
+
+    def __init__(self, spark: SparkSession, path: str, seconds: int = 180):
+        self.seconds = seconds
+        self.path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self.store = self.path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+    def acquire(self, now_seconds: float) -> bool:
+        if self.store.exists(self.path) and now_seconds - self.store.getFileStatus(self.path).getModificationTime() / 1000 > self.seconds:
+            self.store.delete(self.path, False)
+        return bool(self.store.createNewFile(self.path))
+
+    def release(self) -> None:
+        self.store.delete(self.path, False)
