@@ -12,6 +12,27 @@ FIRST, NEXT = 74, 73
 HOURS = 2
 ZONE = "Europe/Rome"
 
+# The lines that describe the time zone.
+ROME = [
+    "BEGIN:VTIMEZONE",
+    "TZID:Europe/Rome",
+    "BEGIN:DAYLIGHT",
+    "TZOFFSETFROM:+0100",
+    "TZOFFSETTO:+0200",
+    "TZNAME:CEST",
+    "DTSTART:19700329T020000",
+    "RRULE:FREQ=YEARLY;BYMONTH=3;BYDAY=-1SU",
+    "END:DAYLIGHT",
+    "BEGIN:STANDARD",
+    "TZOFFSETFROM:+0200",
+    "TZOFFSETTO:+0100",
+    "TZNAME:CET",
+    "DTSTART:19701025T030000",
+    "RRULE:FREQ=YEARLY;BYMONTH=10;BYDAY=-1SU",
+    "END:STANDARD",
+    "END:VTIMEZONE",
+]
+
 
 def escape(text: Column) -> Column:
     for raw, out in (("\\", "\\\\"), (";", "\\;"), (",", "\\,"), ("\r\n", "\\n"), ("\n", "\\n")):
@@ -76,13 +97,8 @@ def calendar(index: DataFrame, stamp: str, lang: str = "en") -> DataFrame:
 
 
 def header(name: str = "Events") -> str:
-    zone = (
-        "BEGIN:VTIMEZONE TZID:Europe/Rome BEGIN:DAYLIGHT TZOFFSETFROM:+0100 TZOFFSETTO:+0200 TZNAME:CEST DTSTART:19700329T020000 "
-        "RRULE:FREQ=YEARLY;BYMONTH=3;BYDAY=-1SU END:DAYLIGHT BEGIN:STANDARD TZOFFSETFROM:+0200 TZOFFSETTO:+0100 TZNAME:CET "
-        "DTSTART:19701025T030000 RRULE:FREQ=YEARLY;BYMONTH=10;BYDAY=-1SU END:STANDARD END:VTIMEZONE"
-    ).split(" ")
     top = ["BEGIN:VCALENDAR", "VERSION:2.0", "PRODID:-//eventloom//Events//EN", "CALSCALE:GREGORIAN", "METHOD:PUBLISH", f"X-WR-CALNAME:{name}", f"X-WR-TIMEZONE:{ZONE}"]
-    return "\r\n".join([*top, *zone]) + "\r\n"
+    return "\r\n".join([*top, *ROME]) + "\r\n"
 
 
 FOOTER = "END:VCALENDAR\r\n"
