@@ -62,7 +62,7 @@ def filled(stored: DataFrame, new: DataFrame, key: str, columns: list[str]) -> D
 def upsert(stored: DataFrame, incoming: DataFrame, key: str = "id", filled: tuple = FILLED) -> DataFrame:
     """Stored records with what a new sighting adds: gaps filled, the range widened, links united.
 
-    Columns: ``startDate, endDate`` and ``filled``; ``lat, lng``, ``free`` and ``altLinks`` where both have them.
+    Columns: ``startDate, endDate``; ``filled``, ``lat, lng``, ``free`` and ``altLinks`` where both have them.
     ``changed`` says whether anything is new.  Records without a sighting come back as they are.
     """
     new = incoming.select(key, *(F.col(c).alias(f"_{c}") for c in incoming.columns if c != key))
@@ -70,7 +70,7 @@ def upsert(stored: DataFrame, incoming: DataFrame, key: str = "id", filled: tupl
     start = F.least("startDate", "_startDate")
     end = F.greatest(F.coalesce("endDate", "startDate"), F.coalesce("_endDate", "_startDate"))
     out = {"startDate": start, "endDate": F.when(F.col("_seen"), F.when(end != start, end)).otherwise(F.col("endDate"))}
-    out |= {c: F.coalesce(F.col(c), F.col(f"_{c}")) for c in filled}
+    out |= {c: F.coalesce(F.col(c), F.col(f"_{c}")) for c in filled if {c} <= set(stored.columns) & set(incoming.columns)}
     if "free" in stored.columns:
         filling = F.col("priceInfo").isNull() & F.col("_priceInfo").isNotNull()
         out["free"] = F.when(filling, free_from_price(F.col("_priceInfo"))).otherwise(F.col("free"))
