@@ -7,11 +7,13 @@ on ids and read stripes in parallel.  ``part`` and ``part_start`` place each doc
 token stream: its start is the total of all earlier parts plus ``part_start``.
 
 Encoding is by the tokenizers library.  Texts repeat words, so each worker remembers the ids of a
-bounded number of pieces already encoded, in a sorted table that a whole chunk of texts is looked up in; a text is cut only where the byte-level pre-tokenizer always cuts (before a
+bounded number of pieces already encoded, in a sorted table that a whole chunk of texts is looked up in by hash, after which
+all bytes are compared; a text is cut only where the byte-level pre-tokenizer always cuts (before a
 space or newline that is followed by a character which isn't white space), so the pieces' ids joined
-are the ids of the whole text.  Texts with other white space than single spaces and newlines between words are encoded whole.
+are the ids of the whole text.  Texts with other white space than single spaces and newlines between words, with the
+spelling of a token added to the vocabulary, or with a piece whose hash another has, are encoded whole.
 
-Edge cases: null text is an empty one (only the end id); null ids sort first; rows with equal ids are
+Edge cases: null text is an empty one (only the end id); null ids sort first, spread by a hash of their text; rows with equal ids are
 all kept, ordered by a hash of their text; an empty table gives a readable empty store; columns other
 than ``doc_id`` and ``text`` are ignored.
 """
@@ -77,10 +79,9 @@ class PieceEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True
         self.by_word = Tokenizer.from_file(tokenizer_path)
-        self.by_word.encode_special_tokens = True
         self.by_word.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = byte_letters()
         self.newline = self.whole("\n")
         self.end = np.array([end_id], "int32")
@@ -88,8 +89,9 @@ class PieceEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.starts, self.sizes = np.zeros(0, "uint64"), np.zeros(0, "int64"), np.zeros(0, "int64")
+        self.keys, self.starts, self.sizes = np.zeros(0, "uint64"), np.zeros(0, "int32"), np.zeros(0, "int32")
         self.pool = np.zeros(0, "int32")
+        self.spelling, self.begins, self.lengths = np.zeros(0, "uint8"), np.zeros(0, "int32"), np.zeros(0, "int32")
 
     def whole(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "int32")
@@ -123,11 +125,25 @@ class PieceEncoder:
                     suffixes[m[3]] = self.whole(m[3])
                 own.append(suffixes[m[3]])
             found.append(np.concatenate(own) if len(own) > 1 else own[0])
-        sizes = np.fromiter(map(len, found), "int64", len(found))
-        starts = len(self.pool) + np.cumsum(sizes) - sizes
-        self.pool = np.concatenate([self.pool, *found])
+        raw = [p.encode() for p in pieces]
         at = np.searchsorted(self.keys, keys)
-        self.keys, self.starts, self.sizes = np.insert(self.keys, at, keys), np.insert(self.starts, at, starts), np.insert(self.sizes, at, sizes)
+        for values, parts, begins, sizes in (("pool", found, "starts", "sizes"), ("spelling", [np.frombuffer(b"".join(raw), "uint8")], "begins", "lengths")):
+            size = np.fromiter(map(len, raw if values == "spelling" else found), "int32", len(found))
+            begin = len(getattr(self, values)) + np.cumsum(size, dtype="int32") - size
+            setattr(self, values, np.concatenate([getattr(self, values), *parts]))
+            setattr(self, begins, np.insert(getattr(self, begins), at, begin))
+            setattr(self, sizes, np.insert(getattr(self, sizes), at, size))
+        self.keys = np.insert(self.keys, at, keys)
+
+    def differing(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether each piece differs from that of its hash in the table: its bytes are compared."""
+        size = end - begin
+        same = self.lengths[at] == size
+        shift = np.where(same, self.begins[at] - begin, -begin)  # the others are compared with any bytes
+        place = np.repeat(shift, size) + np.arange(begin[0], end[-1])
+        np.clip(place, 0, max(0, len(self.spelling) - 1), out=place)
+        equal = np.minimum.reduceat((self.spelling[place] == data[begin[0] : end[-1]]).view("uint8"), begin - begin[0])
+        return ~(same & (equal == 1))
 
     def hashes(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         if len(data) > len(self.factors):
@@ -141,7 +157,7 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with the end id; number of ids of each)."""
-        regular = [k for k, t in enumerate(texts) if is_regular(t)]
+        regular = [k for k, t in enumerate(texts) if is_regular(t) and not any(x in t for x in self.added)]
         raw = ["\x01" + texts[k] for k in regular]
         data = np.frombuffer("".join(raw).encode(), "uint8")
         begin = np.flatnonzero((data == 32) | (data == 10) | (data == 1))
@@ -158,6 +174,8 @@ class PieceEncoder:
             view = data.tobytes()
             self.learn(keys[new], [view[i:j].decode() for i, j in zip(begin[first[new]].tolist(), end[first[new]].tolist())])
             at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        if len(begin) and len(self.keys):
+            odd |= set(np.unique(text_of[self.differing(data, begin, end, at[which])]).tolist())
         starts, sizes = self.starts[at][which] if len(at) else at, self.sizes[at][which] if len(at) else at
         # texts encoded whole, and the end ids, stand behind the pool
         extra, more = [self.end], []
@@ -235,7 +253,7 @@ def write_token_store(
     small_batches(docs.sparkSession)
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .repartitionByRange("doc_id")
+        .repartitionByRange("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
         .sortWithinPartitions("doc_id", F.xxhash64("text"))
     )
     (
