@@ -3,7 +3,7 @@
 Candidates are all longest runs of letters, digits and ``+/_.-`` (and ``=`` behind them) whatever stands around
 them, several in a word if need be: those of ``min_chars`` or more characters with a digit, known shapes, and, where
 a credential's name and ``=`` or ``:`` or an address's user stand before them, those of any length.  Each has features of its
-length, character classes and their transitions, distinct characters, dictionary coverage, path signs, and
+length, character classes and their transitions (all, between letters and digits, between cases), vowels, distinct characters, dictionary coverage, path signs, and
 of the words before it.  Spark ML's random forest is trained on labelled findings and scores them all.
 
 Findings are labelled by ``labels``: rows (value, label).  Where none are given, fixed formats stand in
@@ -34,17 +34,23 @@ _OPENING = r"[\"'`(\[{<\s]*"
 _NAMED = rf"(?i)({CREDENTIAL_NAMES})[\"'`\])]*\s*[=:]+>?{_OPENING}$"
 _KEY_STARTS = "AKIA|ASIA|gh[pousr]_|sk_live_|xox[abprs]-|AIza|eyJ"
 #: What stands before a run, and the run; ``=`` is of it only where nothing of another follows.
-_RUNS = r"([^A-Za-z0-9+/_.-]*)([A-Za-z0-9+/_.-]+(?:=+(?![A-Za-z0-9+/_.=-]))?)"
+#: The last run is an empty one, behind what the word ends in, so that no place is looked at twice.
+_RUNS = r"([^A-Za-z0-9+/_.-]*+)([A-Za-z0-9+/_.-]+(?:=+(?![A-Za-z0-9+/_.=-]))?|$)"
+#: Characters of the words before one in which a credential's name is looked for.
+LOOK_BACK = 200
 #: Common words and word parts of the corpus languages.
 DICTIONARY = (
     "tion ment heit keit lich schaft ungen ung ing ed ly er es the and that with from this have are was were not you for "
     "der die das und ist nicht mit von ein eine les des une est pas que los las con por para del page item user name data file index html http www com net org"
 ).split()
-FEATURES = ("chars", "digit_share", "upper_share", "lower_share", "other_share", "transition_share", "distinct_share", "hex_only", "dictionary_share", "slashes", "dots", "credential_near", "assigned", "quoted")
+FEATURES = ("chars", "digit_share", "upper_share", "lower_share", "other_share", "transition_share", "letter_digit_share", "case_share", "vowel_share", "distinct_share", "hex_only", "dictionary_share", "slashes", "dots", "credential_near", "assigned", "quoted")
 
 
 def candidates(docs: DataFrame, min_chars: int = 10) -> DataFrame:
-    """``doc_id, word_at, word, value, before, of_user`` of each candidate; ``before`` is what its word has before it, behind the two words before."""
+    """``doc_id, word_at, in_quotes, has_at, value, before, of_user`` of each candidate.
+
+    ``before`` is what its word has before it, behind the two words before, of which it has the last ``LOOK_BACK`` characters.
+    """
     words = F.array_remove(F.split(F.col("text"), WORD_SEP), "")
     long = rf"[A-Za-z0-9+/_.-]{{{min_chars}}}"
     maybe = docs.where(F.col("text").rlike(rf"{long}|(?i:{CREDENTIAL_NAMES})|://[^/\s]*@")).select("doc_id", words.alias("w"))
@@ -60,16 +66,19 @@ def candidates(docs: DataFrame, min_chars: int = 10) -> DataFrame:
         w, earlier = z["w"], F.concat_ws(" ", z["second"], z["last"])
         named = z["last"].rlike(rf"[=:]{_OPENING}$") & earlier.rlike(_NAMED)
         return F.when(
-            w.isNotNull() & ((w.rlike(long) & w.rlike("[0-9]")) | w.rlike(rf"[=:].*[A-Za-z0-9]|{_KEY_STARTS}") | named),
+            w.isNotNull() & ((w.rlike(long) & w.rlike("[0-9]")) | w.rlike(rf"(?s)^[^=:]*+[=:].*[A-Za-z0-9]|{_KEY_STARTS}") | named),
             F.struct(i.alias("word_at"), w.alias("word"), F.concat(earlier, F.lit(" ")).alias("before")),
         )
 
     rows = maybe.select("doc_id", F.explode(F.filter(F.transform("z", candidate), lambda x: x.isNotNull())).alias("f")).select("doc_id", "f.*")
     gaps, runs = (F.regexp_extract_all("word", F.lit(_RUNS), F.lit(k)) for k in (1, 2))
-    each = zipped(run=runs, gap=gaps, last=F.concat(none, runs), after=F.slice(F.concat(gaps, F.array(F.regexp_extract("word", r"([^A-Za-z0-9+/_.-]*)$", 1))), 2, 1 << 30))
-    rows = rows.select("doc_id", "word_at", "word", "before", F.explode(each).alias("e")).where("e.run is not null")
+    each = zipped(run=runs, gap=gaps, last=F.concat(none, runs), after=F.slice(F.concat(gaps, none), 2, 1 << 30))
+    # a word may be long and have many runs: none of them carries it, or more than LOOK_BACK characters before it
+    facts = (F.right("before", F.lit(LOOK_BACK)).alias("before"), F.col("word").rlike("[\"']").alias("in_quotes"), F.col("word").contains("@").alias("has_at"))
+    rows = rows.select("doc_id", "word_at", *facts, each.alias("each"))
+    rows = rows.select("doc_id", "word_at", "before", "in_quotes", "has_at", F.explode("each").alias("e")).where("e.run <> ''")
     rows = rows.select(
-        "doc_id", "word_at", "word", F.regexp_replace("e.run", r"\.+$", "").alias("value"), F.concat("before", "e.last", "e.gap").alias("before"),
+        "doc_id", "word_at", "in_quotes", "has_at", F.rtrim("e.run", F.lit(".")).alias("value"), F.concat("before", "e.last", "e.gap").alias("before"),
         # user:value@host
         (F.col("e.last").startswith("//") & (F.col("e.gap") == ":") & F.coalesce(F.col("e.after").startswith("@"), F.lit(False))).alias("of_user"),
     )
@@ -93,6 +102,9 @@ def with_features(found: DataFrame) -> DataFrame:
             "lower_share": _share("a-z"),
             "other_share": 1 - _share("0-9A-Za-z"),
             "transition_share": (F.length(runs) - 1) / F.length("value"),
+            "letter_digit_share": F.regexp_count("value", F.lit("[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])")) / F.length("value"),
+            "case_share": F.regexp_count("value", F.lit("[a-z](?=[A-Z])|[A-Z](?=[a-z])")) / F.length("value"),
+            "vowel_share": _share("AEIOUYaeiouy"),
             "distinct_share": F.size(F.array_distinct(F.split("value", ""))) / F.length("value"),
             "hex_only": F.col("value").rlike("^[0-9a-f]+$").cast("double"),
             "dictionary_share": 1 - F.length(covered) / F.length("value"),
@@ -100,7 +112,7 @@ def with_features(found: DataFrame) -> DataFrame:
             "dots": (F.length("value") - F.length(F.translate("value", ".", ""))).cast("double"),
             "credential_near": F.lower("before").rlike(CREDENTIAL_NAMES).cast("double"),
             "assigned": F.col("before").rlike(rf"[=:]{_OPENING}$").cast("double"),
-            "quoted": F.col("word").rlike("[\"']").cast("double"),
+            "quoted": F.col("in_quotes").cast("double"),
         }
     )
 
@@ -109,7 +121,7 @@ def reviewed() -> Column:
     """Label by the fixed formats; null where they say nothing."""
     value, before = F.col("value"), F.lower("before")
     assigned = before.rlike(_NAMED) | F.col("of_user")
-    harmless = value.rlike(r"^[0-9+().-]+$") | F.col("word").contains("@") | value.rlike(r"^(https?:|www\.|/)") | value.rlike(r"\.(com|net|org|html?)\b") | value.rlike("^[A-Za-z]+[.,]*[0-9]{1,3}$")
+    harmless = value.rlike(r"^[0-9+().-]+$") | F.col("has_at") | value.rlike(r"^(https?:|www\.|/)") | value.rlike(r"\.(com|net|org|html?)\b") | value.rlike("^[A-Za-z]+[.,]*[0-9]{1,3}$")
     return F.when(value.rlike(KNOWN_KEYS), 1.0).when(assigned & value.rlike("[A-Za-z]"), 1.0).when(harmless, 0.0)
 
 

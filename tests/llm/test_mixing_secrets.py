@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from collections import defaultdict
 
 import pytest
@@ -72,6 +73,23 @@ def test_mixing_edge_rows(spark):
     assert all(r.probability == 1 for r in raking.mix(docs.where("doc_id < 3")).collect())
 
 
+def test_targets_that_no_weights_can_have(spark):
+    """Source a is all English and source b all German: shares of the languages follow those of the sources."""
+    rows = [(i, "w " * 10, "a" if i % 3 else "b", "en" if i % 3 else "de") for i in range(300)]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    out = raking.mix(docs).collect()  # derived targets give way
+    assert len(out) == 300 and all(0 < r.probability <= 1 for r in out)
+    with pytest.raises(ValueError, match="can't be met"):
+        raking.mix(docs, {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.9, "de": 0.1}})
+
+
+def test_rows_without_an_id_are_drawn_one_by_one(spark):
+    rows = [(None, f"words of text {i} " * (1 + i % 7), "ab"[i % 2], "en" if i % 5 else "de") for i in range(400)]
+    out = raking.mix(spark.createDataFrame(rows, COLUMNS), {"source": {"a": 0.9, "b": 0.1}}).collect()
+    some = [r for r in out if r.source == "b"]
+    assert 0 < sum(r.sampled for r in some) < len(some)
+
+
 def planted(n=400):
     draw = random.Random(8)
     docs, secrets = [], set()
@@ -131,3 +149,12 @@ def test_secrets_are_candidates_whatever_stands_around_them(spark):
     for r in secret_forest.candidates(docs).collect():
         got[r.doc_id].add(r.value)
     assert got == {i: values for i, (_, values) in enumerate(cases)}
+
+
+def test_very_long_words_take_linear_time(spark):
+    words = ["=" * 200_000, "a1" + "!" * 200_000, "." * 200_000 + "a", "key=" + "(" * 100_000 + "!" * 100_000, "x" * 200_000 + "9!", "http://" * 30_000, "password=" * 20_000]
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    began = time.time()
+    out = secret_forest.scan_secrets(docs).collect()
+    assert time.time() - began < 60
+    assert any(r.doc_id == 4 and r.n_chars == 200_001 for r in out)
