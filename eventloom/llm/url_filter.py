@@ -34,7 +34,6 @@ RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 REJECTED_TERMS = ("casino", "cheap", "pills", "spam", "viagra", "poker", "betting", "xxx", "loan", "replica")
 #: N-grams of one in so many or more are scored without a join.
 FREQUENT = 10_000
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -56,51 +55,11 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, action
 
 
-class HashedModel:
-    """Counters of contexts and of contexts with their next byte, for orders 0 to ``order``."""
-
-    def __init__(self, order: int, buckets: int, strength: float, counts: np.ndarray | None = None):
-        self.order, self.buckets, self.strength = order, buckets, strength
-        #: [order][0: contexts, 1: with the next byte][bucket]
-        self.counts = np.zeros((order + 1, 2, buckets), "float64") if counts is None else counts
-
-    @staticmethod
-    def text_of(urls: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes of all urls, each after a start mark and before an end mark, and where each begins."""
-        raw = [b"\x02" + u.encode("utf-8", "replace") + b"\x03" for u in urls]
-        sizes = np.asarray([len(r) for r in raw])
-        text = np.frombuffer(b"".join(raw), "uint8").astype("uint64")
-        return text, np.cumsum(sizes) - sizes
-
-    def keys(self, text: np.ndarray, starts: np.ndarray):
-        """For each order: buckets of the contexts and of contexts with the byte; contexts stop at a start mark."""
-        n = len(text)
-        place = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
-        context = np.zeros(n, "uint64")
-        for k in range(self.order + 1):
-            if k:
-                earlier = np.zeros(n, "uint64")
-                earlier[k:] = text[:-k] if k < n else 0
-                context = np.where(place >= k, (context * _MIX) ^ (earlier + np.uint64(257 * k)), context)
-            salted = (context ^ np.uint64(k + 1)) * _MIX
-            joint = ((salted >> np.uint64(7)) ^ (text + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)) * _MIX
-            yield (salted >> np.uint64(40)).astype("int64") % self.buckets, (joint >> np.uint64(40)).astype("int64") % self.buckets
-
-    def add(self, urls: list[str]) -> None:
-        text, starts = self.text_of(urls)
-        for k, (c, j) in enumerate(self.keys(text, starts)):
-            self.counts[k, 0] += np.bincount(c, minlength=self.buckets)
-            self.counts[k, 1] += np.bincount(j, minlength=self.buckets)
-
-    def log_likelihood(self, urls: list[str]) -> np.ndarray:
-        """Mean natural logarithm of a byte's probability, for each url."""
-        text, starts = self.text_of(urls)
-        p = np.full(len(text), 1 / 256)
-        for k, (c, j) in enumerate(self.keys(text, starts)):
-            n = self.counts[k, 0][c]
-            p = (np.minimum(self.counts[k, 1][j], n) + self.strength * p) / (n + self.strength)
-        sizes = np.diff(np.append(starts, len(text)))
-        return np.add.reduceat(np.log(p), starts) / sizes
+def text_of(urls: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all urls, each after a start mark and before an end mark, and where each begins."""
+    raw = [b"\x02" + u.encode("utf-8", "replace") + b"\x03" for u in urls]
+    sizes = np.asarray([len(r) for r in raw])
+    return np.frombuffer(b"".join(raw), "uint8").astype("int64"), np.cumsum(sizes) - sizes
 
 
 def gram_keys(urls: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,10 +67,9 @@ def gram_keys(urls: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
 
     A key is a one bit followed by the bytes, so that keys of different lengths differ.
     """
-    text, starts = HashedModel.text_of(urls)
+    text, starts = text_of(urls)
     sizes = np.diff(np.append(starts, len(text)))
     place = np.arange(len(text)) - np.repeat(starts, sizes)
-    text = text.astype("int64")
     keys = text.copy()
     for k in range(1, order + 1):
         keys[k:] |= np.where(place[k:] >= k, text[:-k] << (8 * k), 0)
@@ -183,7 +141,7 @@ def judge_urls(
 ) -> DataFrame:
     """``page_id, host, path, rule, score, verdict`` for each row of ``pages(page_id, url)``."""
     host, path = url_parts(F.col("url"))
-    base = pages.select("page_id", host.alias("host"), path.alias("path"))
+    base = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     # digits are one symbol: page numbers say nothing
     text = F.regexp_replace(F.concat(F.col("host"), F.lower("path")), "[0-9]", "0")
     seeds = F.col("host").rlike("|".join(rejected_terms))

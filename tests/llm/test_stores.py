@@ -1,5 +1,6 @@
 """Token store, WARC archives and URL filter against plain Python."""
 
+import gzip
 import hashlib
 import math
 import random
@@ -19,7 +20,6 @@ def expected_tokens(rows):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(queries.tokenizer_path())
-    tok.encode_special_tokens = True
     out, start = {}, 0
     for i, text in sorted(rows):
         ids = tok.encode(text or "", add_special_tokens=False).ids + [2]
@@ -35,7 +35,7 @@ def test_token_query_matches_direct_encoding(spark, sf_dir):
 
 
 def test_token_store_edge_texts(spark):
-    texts = [None, "", " ", "\n", "a", " a", "a ", "a  b", "a \n b", "a\n\nb", "a\tb", "a\u00a0b", "it's  fine\n", "x\n y", "é\nü ñ", "<|endoftext|> z", "ab " * 30000, "a\x1cb c", "\u2003a", "12 34\n5", "wide\u3000gap x"]
+    texts = [None, "", " ", "\n", "a", " a", "a ", "a  b", "a \n b", "a\n\nb", "a\tb", "a\u00a0b", "it's  fine\n", "x\n y", "é\nü ñ", "<|endoftext|> z", "x <|endoftext|> z", "plain words <|endoftext|>", "ab " * 30000, "a\x1cb c", "\u2003a", "12 34\n5", "wide\u3000gap x"]
     rows = [(i, t) for i, t in enumerate(texts)]
     docs = spark.createDataFrame([(i, t, "en", "clash", 7) for i, t in rows], DOCS)
     path = scratch_path(spark, "t")
@@ -64,6 +64,49 @@ def test_token_store_reads_by_bloom_filter_and_pushdown(spark, sf_dir):
     assert "EqualTo(doc_id,17)" in one._jdf.queryExecution().toString()
 
 
+def test_added_tokens_are_single_ids():
+    encoder = token_store.PieceEncoder(queries.tokenizer_path(), 2)
+    ids, sizes = encoder.encode(["x <|endoftext|> z", "a word"])
+    assert ids[: sizes[0]].tolist() == [87, 220, 50256, 1976, 2]
+
+
+def test_pieces_with_one_hash_keep_their_own_ids(monkeypatch):
+    real = token_store.PieceEncoder.hashes
+    monkeypatch.setattr(token_store.PieceEncoder, "hashes", lambda self, *a: real(self, *a) & 7)
+    encoder = token_store.PieceEncoder(queries.tokenizer_path(), 2)
+    texts = [f"some words {i} that\nshare {i * i} hashes, é {i % 3}" for i in range(40)] + ["", "a"]
+    for _ in range(2):
+        ids, sizes = encoder.encode(texts)
+        assert ids.tolist() == [x for t in texts for x in [*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 2]]
+
+
+def test_store_files_have_bloom_filters_and_row_indexes_and_point_reads_skip(spark):
+    docs = spark.range(20_000).selectExpr("id as doc_id", "concat('text ', id) as text").coalesce(1)
+    path = scratch_path(spark, "t")
+    token_store.write_token_store(docs.repartition(1), path, queries.tokenizer_path(), row_index_stride=1000, stripe_bytes=64 << 10)
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    orc = jvm.org.apache.orc.OrcFile
+    files = [s.getPath() for s in jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf).listStatus(jvm.org.apache.hadoop.fs.Path(path)) if "part-" in s.getPath().getName()]
+    stripes = 0
+    for file in files:
+        reader = orc.createReader(file, orc.readerOptions(conf))
+        assert reader.getRowIndexStride() == 1000
+        stripes += reader.getStripes().size()
+        column = list(reader.getSchema().getFieldNames()).index("doc_id") + 1
+        rows = reader.rows()
+        streams = rows.readStripeFooter(reader.getStripes().get(0)).getStreamsList()
+        kinds = {x.getKind().toString() for x in streams if x.getColumn() == column}
+        assert {"ROW_INDEX", "BLOOM_FILTER_UTF8"} <= kinds
+        rows.close()
+    assert stripes > 1
+    found = spark.read.schema(token_store.STORE_SCHEMA).orc(path).where("doc_id = 777")
+    assert len(found.collect()) == 1
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(doc_id,777)" in plan
+    scan = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert scan.metrics().apply("numOutputRows").value() <= 1000
+
+
 PAGES = "page_id long, url string, html string, digest string, first long"
 
 
@@ -86,7 +129,7 @@ def test_warc_round_trip_with_segments_and_revisits(spark):
     rows = [(i, h) for i, h in enumerate(html)] + [(4, "y" * 100), (None, "y" * 100)]
     pages = spark.createDataFrame([(i, None if i == 2 else f"http://a/{i}\r\nX: y", h, "clash", 3) for i, h in rows], PAGES).repartition(3)
     path = scratch_path(spark, "w")
-    warc.write_warc(pages, path, segment_bytes=5000, chunk_bytes=777, pages_per_file=2)
+    warc.write_warc(pages, path, segment_bytes=5000, chunk_bytes=777, row_bytes=3000, rows_per_file=2)
     assert warc.read_records(spark, path).where("segment > 1").count() > 20
     got = warc.read_warc(spark, path, scratch_path(spark, "w"))
     assert sorted(map(tuple, got.collect()), key=str) == expected_pages(rows)
@@ -101,7 +144,7 @@ def test_warc_query_and_empty_table(spark, sf_dir):
 
 
 def test_warc_refuses_broken_input():
-    good = warc.page_records("urn:page:1;0.0", 1, "http://a", b"z" * 500, "00", None, 200, 50)
+    good = b"".join(warc.page_records("urn:page:1;0.0", 1, "http://a", b"z" * 500, "00", None, 200, 50))
     parts = [(int(f.get("warc-segment-number", 0)), b) for f, b in warc.records_of(good)]
     total = sum(len(b) for _, b in parts)
     assert warc.payload_of(warc.reassemble(parts, total)) == b"z" * 500
@@ -115,6 +158,36 @@ def test_warc_refuses_broken_input():
     assert warc.dechunked(b"3;x=1\r\nabc\r\n0\r\nT: 1\r\n\r\n") == b"abc"
 
 
+def test_archives_are_members_of_one_record_and_revisits_name_a_record(spark):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", "same page " * 5000 if i % 2 else f"page {i} " * 30) for i in range(12)], "page_id long, url string, html string")
+    path = scratch_path(spark, "w")
+    warc.write_warc(pages, path, segment_bytes=3000, row_bytes=4000, rows_per_file=3)
+    ids, named, origins = set(), set(), set()
+    for row in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect():
+        data = bytes(row.content)
+        while data:
+            one = zlib.decompressobj(31)
+            records = list(warc.records_of(one.decompress(data)))
+            data = one.unused_data
+            assert len(records) == 1
+            fields = records[0][0]
+            ids.add(fields["warc-record-id"])
+            named |= {fields["warc-refers-to"]} if "warc-refers-to" in fields else set()
+            origins |= {fields["warc-segment-origin-id"]} if "warc-segment-origin-id" in fields else set()
+    assert len(named) == 1 and origins and named | origins <= ids
+    assert not warc.member(b"x" * 100)[-1] and gzip.decompress(warc.member(bytes(17 << 20))) == bytes(17 << 20)
+
+
+def test_repeated_pages_that_others_refer_to(spark):
+    html = "the same long page " * 2000
+    rows = [(1, html), (1, html), (5, html), (None, html), (None, html)]
+    pages = spark.createDataFrame([(i, "http://h/", t) for i, t in rows], "page_id long, url string, html string").repartition(3)
+    path = scratch_path(spark, "w")
+    warc.write_warc(pages, path, segment_bytes=4000)
+    got = warc.read_warc(spark, path, scratch_path(spark, "w"))
+    assert sorted(map(tuple, got.collect()), key=str) == expected_pages(rows)
+
+
 def brute_rule(url):
     host = path = ""
     if url and "://" in url:
@@ -147,13 +220,12 @@ def test_url_models_find_spam_hosts(spark):
     assert sum(r.verdict == "block" for r in rest) <= 0.05 * len(rest)
 
 
-def test_url_model_is_a_probability():
-    model = url_filter.HashedModel(3, 1 << 12, 2.0)
-    model.add(["example.com/en/0", "example.net/fr/00"])
-    text = [b"example.com/en/".decode() + chr(c) for c in range(32, 127)]
-    whole = model.log_likelihood(["example.com/en/0"])[0]
-    assert whole > model.log_likelihood(["zzqqzzqqzz/xx/0"])[0]
-    assert all(v < 0 for v in model.log_likelihood(text))
+def test_odd_url_tables(spark):
+    """Page ids of another type, a very long url, ties."""
+    urls = ["http://a.org/" + "long/" * 40_000, None, "http://casino.net/x", "http://casino.net/x", "http://b.net/y"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id int, url string")
+    got = {r.page_id: r for r in url_filter.judge_urls(pages).collect()}
+    assert len(got) == 5 and got[0].rule == "org/" and got[2][1:] == got[3][1:] and got[1].host == ""
 
 
 def test_url_filter_empty_table(spark):
