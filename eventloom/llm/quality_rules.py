@@ -10,13 +10,15 @@ stratum (language).  Labelled good documents that pass the base rules are dealt
    seen, were their rate ``max_false_rejection``, is at most ``delta`` divided by the number of strata
    (Bonferroni between strata; within one a fixed sequence stops at the first that fails).
 
-So with confidence 1 - delta, no stratum loses more than that share of its good documents to learned
-cutoffs.  A stratum without enough labels to show this rejects by the base rules alone.
+The trials are distinct texts: copies of one text, and several labels of one document, count once, and a text is in one
+half only.  So with confidence 1 - delta, no stratum loses more than that share of its distinct good texts to
+learned cutoffs.  That takes log(delta / strata) / log(1 - max_false_rejection) good texts in a stratum's second half, 459
+with the defaults, even if none of them is rejected; a stratum with fewer labels rejects by the base rules alone.
 
 Strata are the languages in ``strata`` and ``other``, so the table of cutoffs has a fixed size.  Edge
 cases: null text has no words and fails the base rules; a null or unknown language is ``other``; null
-labels teach nothing; equal rows are judged alike, each on its own; a doc_id with several labels
-counts each of them; an empty table, or one without labels, works; extra columns are ignored.
+labels teach nothing; equal rows are judged alike, each on its own; a doc_id with labels of both
+kinds is a good one; an empty table, or one without labels, works; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -105,14 +107,16 @@ def judge_quality(
     """
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
     stratum = F.when(lang.isin(*strata), lang).otherwise("other")
-    rows = docs.withColumn("stratum", stratum)
-    stats = with_ratios(materialize(base_stats(rows, "doc_id", "stratum", *keep), "quality-stats"))
+    rows = docs.withColumn("stratum", stratum).withColumn("_of", F.xxhash64("text"))
+    stats = with_ratios(materialize(base_stats(rows, "doc_id", "stratum", "_of", *keep), "quality-stats"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     stats = stats.withColumn("base_failed", failed)
-    good = labels.where("quality = 1").select("doc_id")
-    labelled = stats.where("not base_failed").join(good, "doc_id").withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)))
+    good = labels.where("quality = 1").select("doc_id").distinct()
+    # equal texts are one trial, in one half
+    labelled = stats.where("not base_failed").join(good, "doc_id").select("stratum", "_of", *FLOORS).dropDuplicates(["stratum", "_of"])
+    labelled = labelled.withColumn("half", F.pmod(F.xxhash64("_of", F.lit("half")), F.lit(2)))
     cuts = materialize(fit_cutoffs(labelled, n_strata=len(strata) + 1, **fit), "quality-cutoffs")
     judged = stats.join(F.broadcast(cuts), "stratum", "left")
     reasons = F.filter(F.array(*(F.when(F.col(n) > F.col(f"cut_{n}"), n) for n in FLOORS)), lambda x: x.isNotNull())
-    judged = judged.withColumn("reject_reasons", reasons)
+    judged = judged.drop("_of").withColumn("reject_reasons", reasons)
     return judged.withColumn("kept", ~F.col("base_failed") & (F.size("reject_reasons") == 0))

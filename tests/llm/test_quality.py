@@ -81,6 +81,30 @@ def test_cutoffs_reject_junk_and_keep_the_promise(spark):
         assert sum(r.kept for r in bad) <= 0.05 * len(bad)
 
 
+def test_verdicts_match_a_plain_computation(spark):
+    """Cutoffs, their tests and ``kept`` by plain loops over distinct labelled texts; every third good text is there twice."""
+    data = synthetic(spark)
+    twice = data.where("quality = 1 and doc_id % 3 = 0").selectExpr("doc_id + 100000 as doc_id", "text", "lang", "quality")
+    data = data.unionByName(twice)
+    out = quality_rules.judge_quality(data.drop("quality"), data.select("doc_id", "quality"), keep=("lang",)).collect()
+    names = list(quality_rules.FLOORS)
+    facts = {r.doc_id: (r.half, r.quality, r.text) for r in data.selectExpr("doc_id", "pmod(xxhash64(xxhash64(text), 'half'), 2) as half", "quality", "text").collect()}
+    multiple, cuts = {}, {}
+    for stratum in ("en", "other"):
+        trials = {facts[r.doc_id][2]: (facts[r.doc_id][0], r) for r in out if r.stratum == stratum and facts[r.doc_id][1] == 1 and not r.base_failed}.values()
+        first, second = ([r for half, r in trials if half == h] for h in (0, 1))
+        cuts[stratum] = {n: max(sorted(r[n] for r in first)[math.ceil(0.998 * len(first)) - 1], quality_rules.FLOORS[n]) for n in names}
+        for m in quality_rules.MULTIPLES:
+            k = sum(any(r[n] > cuts[stratum][n] * m for n in names) for r in second)
+            if k > 0.01 * len(second) or exact_tail(len(second), k, 0.01) > 0.05 / 5:
+                break
+            multiple[stratum] = m
+    assert multiple and any(not r.kept for r in out)
+    for r in out:
+        rejected = r.stratum in multiple and any(r[n] > cuts[r.stratum][n] * multiple[r.stratum] for n in names)
+        assert r.kept == (not r.base_failed and not rejected)
+
+
 def test_too_few_labels_reject_nothing_more(spark):
     data = synthetic(spark, 300)
     out = quality_rules.judge_quality(data, data.select("doc_id", "quality")).collect()
