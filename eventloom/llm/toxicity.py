@@ -16,7 +16,8 @@ The sample is at most ``max_rows`` labelled rows of the training folds, by small
 lexicon has at most ``max_terms`` terms, and as many words of its stems.  Scoring runs over all rows and whole texts.
 
 Edge cases: null or empty text has no hits and gets the score of that; null labels aren't used; without
-training rows the seed terms and fixed weights stand; repeated rows score alike; extra columns are
+training rows the seed terms and fixed weights stand; repeated rows score alike, and an id trains once a label, with the
+first of its texts; extra columns are
 ignored; an empty table gives no rows.
 """
 
@@ -284,7 +285,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int, held_fold: int,
     half = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxicity")), F.lit(2))
     sample = bounded_sample(known.select("doc_id", "toxic"), max_rows, F.col("doc_id"), F.col("toxic")).select("doc_id", F.col("toxic").cast("int").alias("_y"), half.alias("_half"))
     # max_rows rows of three numbers at most
-    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), "toxicity-sample")
+    sample = docs.select("doc_id", "text").join(F.broadcast(sample.distinct()), "doc_id")
+    # however many rows an id has, one text of it is a trial
+    sample = materialize(sample.groupBy("doc_id", "_y", "_half").agg(F.min("text").alias("text")), "toxicity-sample")
     sizes = {(r["_half"], r["_y"]): r["n"] for r in sample.groupBy("_half", "_y").agg(F.count("*").alias("n")).collect()}
     small_batches(docs.sparkSession)
     counted = sample.where("_half = 0").select("text", "_y").mapInArrow(_count_terms, "term string, t long, c long")
