@@ -2,10 +2,12 @@
 
 1. Vocabulary: the words of the benchmark items (lower case, no punctuation).  Document
    frequencies of these are counted over all documents.
-2. Basis: a randomised SVD of the TF-IDF matrix of passages, computed in distributed steps: each task
-   sums A'(A Q) over its passages, the driver orthonormalises the small sum (terms by rank).  Its rows
-   are the passages of at most ``fit_docs`` documents (smallest hash of their id) and, with weight
-   ``item_weight``, the items and their passages; all passages of all documents are then projected and searched.
+2. Basis: a randomised SVD of the TF-IDF matrix A of all passages of all documents and, with weight ``item_weight``, of
+   the items and their passages, computed in distributed steps.  Where the vocabulary has at most ``pair_terms`` words, each
+   task sums the products of terms that share a passage, from which the driver has A'A, in the pass that counts documents;
+   for a larger one, each task sums A'(A Q) over its passages in every round.  Either way the driver orthonormalises
+   A'(A Q) (terms by rank).  The documents weigh together what ``weight_docs`` average ones do, if they are more, so that
+   the items' share in the basis doesn't fall as the corpus grows.
 3. Candidates: items are searched for whole and, where longer than ``window`` words, also by passages
    of their own, cut as the documents' are, so that a copy of a long item is found as one of a short
    one is.  A candidate is a passage of ``window`` words every ``window / 2``, whose cosine with such a
@@ -20,7 +22,8 @@
 
 The benchmark is the query set, which the driver holds: vocabulary, frequencies and basis are those of all its items, of
 which ``block_items`` at a time are held against all rows, with the same matches whatever that number is.  Only sums of
-vocabulary size reach the driver.  Documents pass through as they are, so nothing is shuffled.
+vocabulary size reach the driver, and those of pairs of at most ``pair_terms`` words.  Documents pass through as they are,
+so only such sums are shuffled.
 
 Edge cases: null and empty texts match nothing; null or empty items, and those with under ``min_item_words``
 words, are not searched for; equal items each match; repeated rows are each judged; a null doc_id is
@@ -31,6 +34,7 @@ is replaced, other extra columns pass through.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from itertools import repeat
 
 import numpy as np
@@ -39,16 +43,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventloom.llm.common import bounded_sample, small_batches
+from eventloom.llm.common import small_batches
 
 _MATCHES = pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64()), ("answer", pa.float64()), ("content", pa.float64())]))
 MATCHES = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in ("cosine", "lcs", "answer", "content"))]))
 _PUNCTUATION = re.compile("[!-/:-@\\[-`{-~«»“”„‘’–—…]+")
+_ASCII_PUNCTUATION = {c: " " for c in range(128) if _PUNCTUATION.match(chr(c))}
+#: Passages whose terms a task holds at once, and slots of one record of pair sums.
+_PASSAGES, _SLOTS = 2048, 1 << 16
 
 
 def plain_words(text: str | None) -> list[str]:
     """Lower-case words without punctuation."""
-    return _PUNCTUATION.sub(" ", text.lower()).split() if text else []
+    text = text.lower() if text else ""
+    return (text.translate(_ASCII_PUNCTUATION) if text.isascii() else _PUNCTUATION.sub(" ", text)).split()
 
 
 def places(text: str | None, vocabulary: dict[str, int]) -> np.ndarray:
@@ -109,9 +117,18 @@ def _passage_terms(places: np.ndarray, begin: np.ndarray, end: np.ndarray, idf:
 
 def _project(row, term, value, n: int, basis: np.ndarray) -> np.ndarray:
     out = np.zeros((n, basis.shape[1]), basis.dtype)
-    if len(row):
-        starts = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-        out[row[starts]] = np.add.reduceat(basis[term] * value[:, None].astype(basis.dtype), starts, axis=0)
+    value = value.astype(basis.dtype)[:, None]
+    starts = np.flatnonzero(np.append(True, row[1:] != row[:-1])[: len(row)])
+    sizes = np.diff(np.append(starts, len(row)))
+    order = np.argsort(-sizes, kind="stable")
+    # some hundred passages at a time, those with most terms first, a term of each at once: what is added to stays in the cache
+    for a in range(0, len(order), 256):
+        first, left = starts[order[a : a + 256]], -sizes[order[a : a + 256]]
+        sums = np.zeros((len(first), basis.shape[1]), basis.dtype)
+        for k in range(-left[0]):
+            at = first[: np.searchsorted(left, -k)] + k
+            sums[: len(at)] += basis[term[at]] * value[at]
+        out[row[first]] = sums
     return out
 
 
@@ -129,32 +146,103 @@ def _document_counts(vocabulary: dict):
     return run
 
 
+def _placed(batches, vocabulary: dict, window: int):
+    """(each document's places, those of all, begin and end of their passages) of some hundred texts at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            docs = [places(t.as_py(), vocabulary) for t in batch.column(0).slice(at, 200)]
+            _, begin, end = _windows(np.array([len(d) for d in docs], "int64"), window)
+            yield docs, np.concatenate(docs), begin, end
+
+
+def _triangle(n: int) -> np.ndarray:
+    """What to add to j for the slot of (i, j), i <= j, in the upper triangle of an n by n matrix."""
+    i = np.arange(n, dtype="int64")
+    return i * (2 * n - i - 1) // 2
+
+
+def _pair_sums(vocabulary: dict, window: int):
+    """Sums B'B over the passages, B their damped term frequencies, as an upper triangle; row 0 counts documents."""
+
+    def run(batches):
+        n = len(vocabulary) + 1
+        base, total, flat = _triangle(n), np.zeros(n * (n + 1) // 2), np.ones(n)
+        for docs, every, begin, end in _placed(batches, vocabulary, window):
+            has = np.zeros((len(docs), n), bool)
+            has[np.repeat(np.arange(len(docs)), [len(d) for d in docs]), every] = True
+            has[:, 0] = True
+            total[:n] += has.sum(0)
+            for a in range(0, len(begin), _PASSAGES):
+                row, term, value = _passage_terms(every, begin[a : a + _PASSAGES], end[a : a + _PASSAGES], flat)
+                first = base[term]
+                np.add.at(total, first + term, value * value)
+                # terms of a passage ascend, so those at each distance are pairs above the diagonal
+                for gap in range(1, len(row)):
+                    here = np.flatnonzero(row[gap:] == row[:-gap])
+                    if not len(here):
+                        break
+                    np.add.at(total, first[here] + term[here + gap], value[here] * value[here + gap])
+        yield from _records(total)
+
+    return run
+
+
+def _records(total: np.ndarray, first: int = 0):
+    """The slots of ``total`` that aren't 0, ``_SLOTS`` at a time."""
+    for at in range(0, len(total), _SLOTS):
+        part = total[at : at + _SLOTS]
+        slots = np.flatnonzero(part)
+        if len(slots):
+            columns = pa.array([first + at // _SLOTS]), *(pa.array([x.tobytes()], pa.binary()) for x in (slots.astype("uint16"), part[slots]))
+            yield pa.RecordBatch.from_arrays(list(columns), ["block", "slots", "sums"])
+
+
+def _added(batches):
+    """One record of each block."""
+    totals: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, slots, sums in zip(*(c.to_pylist() for c in batch.columns)):
+            if block not in totals:
+                totals[block] = np.zeros(_SLOTS)
+            totals[block][np.frombuffer(slots, "uint16")] += np.frombuffer(sums)
+    for block, total in totals.items():
+        yield from _records(total, block)
+
+
+def _symmetric_times(triangle: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The product of a symmetric matrix, of which ``triangle`` is the upper one, with ``q``; 256 rows at a time."""
+    n, out = len(q), np.zeros_like(q)
+    base = _triangle(n)
+    for a in range(0, n, 256):
+        rows = np.zeros((min(256, n - a), n - a))
+        for k in range(len(rows)):
+            rows[k, k:] = triangle[base[a + k] + a + k : base[a + k] + n]
+        out[a : a + 256] += rows @ q[a:]
+        rows[np.arange(len(rows)), np.arange(len(rows))] = 0
+        out[a:] += rows.T @ q[a : a + 256]
+    return out
+
+
 def _gram(vocabulary: dict, idf: np.ndarray, basis: np.ndarray, window: int):
     """Sums A'(A Q) over the passages: rows of vocabulary size."""
 
     def run(batches):
         total = np.zeros_like(basis)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                docs = [places(t.as_py(), vocabulary) for t in batch.column(0).slice(at, 200)]
-                sizes = np.array([len(d) for d in docs], "int64")
-                if not sizes.sum():
-                    continue
-                _, begin, end = _windows(sizes, window)
-                row, term, value = _passage_terms(np.concatenate(docs), begin, end, idf)
-                total += _transposed(row, term, value, _project(row, term, value, len(begin), basis), len(idf))
+        for _, every, begin, end in _placed(batches, vocabulary, window):
+            for a in range(0, len(begin), _PASSAGES):
+                row, term, value = _passage_terms(every, begin[a : a + _PASSAGES], end[a : a + _PASSAGES], idf)
+                _add_transposed(total, row, term, value, _project(row, term, value, len(begin[a : a + _PASSAGES]), basis))
         slots = np.flatnonzero(np.abs(total).sum(1))
         yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(list(total[slots]), pa.list_(pa.float64()))], ["slot", "v"])
 
     return run
 
 
-def _transposed(row, term, value, y: np.ndarray, n_terms: int) -> np.ndarray:
-    out = np.zeros((n_terms, y.shape[1]))
+def _add_transposed(out: np.ndarray, row, term, value, y: np.ndarray) -> np.ndarray:
     if len(row):
         order = np.argsort(term, kind="stable")
         starts = np.flatnonzero(np.append(True, np.diff(term[order]) != 0))
-        out[term[order][starts]] = np.add.reduceat(y[row[order]] * value[order][:, None], starts, axis=0)
+        out[term[order][starts]] += np.add.reduceat(y[row[order]] * value[order][:, None], starts, axis=0)
     return out
 
 
@@ -173,23 +261,41 @@ def _item_matrix(items: list, vocabulary: dict, idf: np.ndarray, window: int):
     return item, _passage_terms(np.concatenate(found), begin, end, idf)
 
 
-def fit_basis(docs: DataFrame, items: list, vocabulary: dict, idf: np.ndarray, rank: int, window: int, fit_docs: int, item_weight: float, rounds: int = 2) -> np.ndarray:
-    """Orthonormal right singular vectors (terms by rank) of the passages' and items' TF-IDF matrix."""
-    ids = bounded_sample(docs.select("doc_id"), fit_docs, F.col("doc_id")).distinct()
-    # fit_docs ids at most
-    sample = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text").cache()
+def passage_sums(docs: DataFrame, vocabulary: dict, window: int, pair_terms: int) -> tuple[np.ndarray, Callable]:
+    """(documents with each term, at 0 all; what gives A'(A Q) for idf and Q), A of all passages of all documents."""
+    texts, n = docs.select("text"), len(vocabulary) + 1
+    if len(vocabulary) <= pair_terms:
+        triangle = np.zeros(n * (n + 1) // 2)
+        parts = texts.mapInArrow(_pair_sums(vocabulary, window), "block long, slots binary, sums binary").repartition("block")
+        for r in parts.mapInArrow(_added, parts.schema).toLocalIterator():
+            triangle[r.block * _SLOTS + np.frombuffer(r.slots, "uint16").astype("int64")] = np.frombuffer(r.sums)
+        counts = triangle[:n].copy()
+        triangle[:n] = 0
+        return counts, lambda idf, q: idf[:, None] * _symmetric_times(triangle, idf[:, None] * q)
+    counts = np.zeros(n)
+    for r in texts.mapInArrow(_document_counts(vocabulary), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+        counts[r.slot] = r.n
+
+    def times(idf: np.ndarray, q: np.ndarray) -> np.ndarray:
+        z = np.zeros_like(q)
+        sums = texts.mapInArrow(_gram(vocabulary, idf, q, window), "slot long, v array<double>").groupBy("slot")
+        for r in sums.agg(F.array(*(F.sum(F.col("v")[i]) for i in range(q.shape[1]))).alias("v")).collect():
+            z[r.slot] = r.v
+        return z
+
+    return counts, times
+
+
+def fit_basis(times: Callable, weight: float, items: list, vocabulary: dict, idf: np.ndarray, rank: int, window: int, item_weight: float, rounds: int = 2) -> np.ndarray:
+    """Orthonormal right singular vectors (terms by rank) of the TF-IDF matrix of all passages, of ``weight`` in its squares, and of the items."""
     item, (row, term, value) = _item_matrix(items, vocabulary, idf, window)
     wide = min(rank + 8, len(idf) - 1)
     q = np.linalg.qr(np.random.default_rng(11).standard_normal((len(idf), wide)))[0]
     spread = np.ones(wide)
     for _ in range(rounds):
-        sums = sample.mapInArrow(_gram(vocabulary, idf, q, window), "slot long, v array<double>").groupBy("slot")
-        z = item_weight**2 * _transposed(row, term, value, _project(row, term, value, len(item), q), len(idf))
-        for r in sums.agg(F.array(*(F.sum(F.col("v")[i]) for i in range(wide))).alias("v")).collect():
-            z[r.slot] += r.v
-        u, spread, _ = np.linalg.svd(z, full_matrices=False)
-        q = u
-    sample.unpersist()
+        z = weight * times(idf, q)
+        z += item_weight**2 * _add_transposed(np.zeros_like(q), row, term, value, _project(row, term, value, len(item), q))
+        q, spread, _ = np.linalg.svd(z, full_matrices=False)
     return np.ascontiguousarray(q[:, : min(rank, int((spread > 1e-9).sum()) or 1)], "float32")
 
 
@@ -291,9 +397,10 @@ def with_contamination(
     min_answer: float = 0.8,
     min_content: float = 0.6,
     min_item_words: int = 5,
-    fit_docs: int = 2000,
+    weight_docs: int = 2000,
     item_weight: float = 100.0,
     block_items: int = 4096,
+    pair_terms: int = 4096,
 ) -> DataFrame:
     """``docs`` with ``contamination``: the items of ``benchmark(item_id, text)`` that a text has, with their figures."""
     small_batches(docs.sparkSession)
@@ -305,11 +412,9 @@ def with_contamination(
         return out
     # vocabulary, frequencies and basis are those of all items, so blocks of them find what one block would
     vocabulary = {w: i for i, w in enumerate(sorted({w for _, t in asked for w in plain_words(t)}), 1)}
-    counts = np.zeros(len(vocabulary) + 1)
-    for r in docs.select("text").mapInArrow(_document_counts(vocabulary), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
-        counts[r.slot] = r.n
+    counts, times = passage_sums(docs, vocabulary, window, pair_terms)
     idf = np.log((1 + counts[0]) / (1 + counts)) + 0.05
-    basis = fit_basis(docs, asked, vocabulary, idf, rank, window, fit_docs, item_weight)
+    basis = fit_basis(times, min(1.0, weight_docs / max(1.0, counts[0])), asked, vocabulary, idf, rank, window, item_weight)
     for at in range(0, len(asked), block_items):
         search = _search(vocabulary, idf, basis, asked[at : at + block_items], docs.columns.index("text"), window, min_cosine, min_share, (min_lcs, min_lcs_with_answer, min_answer, min_content))
         # earlier blocks' matches ride along as one more column

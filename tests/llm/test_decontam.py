@@ -1,7 +1,9 @@
 """Benchmark decontamination against planted and brute-force cases."""
 
+import math
 import random
 
+import numpy as np
 import pytest
 
 from eventloom.llm import lsa_decontam, queries
@@ -120,3 +122,55 @@ def test_copies_of_long_items_are_found_as_those_of_short_ones_are(spark):
     expected = {i: {i} if i < 36 else set() for i, *_ in docs}
     assert marked(spark, docs, bench) == expected
     assert marked(spark, docs, bench, block_items=7) == expected
+
+
+def whole_cosines(docs, bench, rank, item_weight, weight_docs=2000):
+    """Cosine of each document, all of it one passage, with its item, by the basis of all passages; dense and by itself."""
+    words = [t.split() for _, t, *_ in docs]
+    at = {w: i for i, w in enumerate(sorted({w for _, t in bench for w in t.split()}), 1)}
+    idf = np.full(len(at) + 1, math.log(1 + len(docs)) + 0.05)
+    for w, i in at.items():
+        idf[i] -= math.log(1 + sum(w in set(d) for d in words))
+
+    def matrix(texts):
+        out = np.zeros((len(texts), len(idf)))
+        for row, text in zip(out, texts):
+            for w in set(text) & set(at):
+                row[at[w]] = (1 + math.log(text.count(w))) * idf[at[w]]
+        return out
+
+    a, items = matrix(words), matrix([t.split() for _, t in bench])
+    gram = min(1, weight_docs / len(docs)) * a.T @ a + item_weight**2 * items.T @ items
+    q = np.linalg.qr(np.random.default_rng(11).standard_normal((len(idf), rank + 8)))[0]
+    for _ in range(2):
+        q = np.linalg.svd(gram @ q, full_matrices=False)[0]
+    x, y = a @ q[:, :rank], items @ q[:, :rank]
+    return {d: float(x[n] @ y[i] / np.linalg.norm(x[n]) / np.linalg.norm(y[i])) for n, (d, _, i) in enumerate(docs) if i is not None}
+
+
+@pytest.mark.parametrize("options", [{}, {"pair_terms": 0}])
+def test_the_basis_is_that_of_every_passage(spark, options):
+    draw = random.Random(7)
+    pool = [f"term{i}" for i in range(150)]
+    bench = [(i, " ".join(draw.choices(pool, k=14))) for i in range(40)]
+    docs = [(i, " ".join(draw.choices(pool, k=draw.randint(1, 30))), None) for i in range(2600)]
+    docs += [(3000 + i, " ".join([t, *draw.choices(pool, k=10)]), i) for i, t in bench]
+    expected = whole_cosines(docs, bench, rank=20, item_weight=1.0)
+    df = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")
+    marked = lsa_decontam.with_contamination(df, spark.createDataFrame(bench, "item_id long, text string"), rank=20, item_weight=1.0, min_cosine=-1.0, min_share=1e-9, **options)
+    got = {r.doc_id: m.cosine for r in marked.collect() for m in r.contamination if r.doc_id == 3000 + m.item_id}
+    assert got == pytest.approx(expected, abs=1e-4)
+
+
+def test_pair_sums_meet_over_blocks_and_tasks():
+    draw = random.Random(8)
+    full = np.array([[draw.choice([0, 0, 1.5, 2]) for _ in range(700)] for _ in range(700)])
+    full = np.triu(full) + np.triu(full, 1).T
+    triangle = full[np.triu_indices(700)]
+    back = np.zeros_like(triangle)
+    for r in lsa_decontam._added([*lsa_decontam._records(triangle), *lsa_decontam._records(triangle)]):
+        block, slots, sums = (c[0].as_py() for c in r.columns)
+        back[block * lsa_decontam._SLOTS + np.frombuffer(slots, "uint16").astype("int64")] = np.frombuffer(sums)
+    assert (back == 2 * triangle).all() and (triangle[lsa_decontam._triangle(700)[5] + 9]) == full[5, 9]
+    q = np.random.default_rng(1).standard_normal((700, 3))
+    assert np.allclose(lsa_decontam._symmetric_times(triangle, q), full @ q)
