@@ -3,10 +3,12 @@
 import re
 
 import corpus_pipeline
+import pytest
+from pyspark.sql import functions as F
 from test_partenum import brute
 from test_stores import expected_tokens
 
-from eventloom.llm import queries
+from eventloom.llm import lsa_decontam, queries
 from eventloom.llm.common import materialize
 
 
@@ -56,3 +58,18 @@ def test_which_row_of_an_id_stays_does_not_depend_on_partitions(spark, sf_dir):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = [sorted(map(tuple, corpus_pipeline.near_duplicates(spark, docs.repartition(n), sf_dir).collect())) for n in (1, 7)]
     assert kept[0] == kept[1] and len({r[0] for r in kept[0]}) == len(kept[0])
+
+
+def test_decontamination_does_not_depend_on_which_ids_documents_have(spark, sf_dir, monkeypatch):
+    """Its basis was that of 2,000 documents, chosen by their ids."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    many = docs.crossJoin(spark.range(15).withColumnRenamed("id", "k")).selectExpr("doc_id + 1000000 * k AS doc_id", "concat_ws(' ', text, substring(text, 1 + 40 * k, 200)) AS text", "lang", "source")
+    inner, seen = lsa_decontam.with_contamination, []
+    monkeypatch.setattr(lsa_decontam, "with_contamination", lambda *a, **k: seen.append(inner(*a, **k)) or seen[-1])
+    kept = []
+    for shift in (0, 7):
+        corpus_pipeline.decontamination(spark, many.withColumn("doc_id", F.col("doc_id") + shift), sf_dir)
+        rows = seen[-1].select(F.col("doc_id") - shift, F.inline("contamination")).collect()
+        kept.append({(r[0], r.item_id): r.cosine for r in rows})
+    assert many.count() > 2000 and len(kept[0]) > 0
+    assert kept[0] == pytest.approx(kept[1], abs=1e-4)
