@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.llm import lsa_decontam, partenum, quality_rules, queries, raking, token_store
-from eventloom.llm.common import materialize, scratch_path, table
+from eventloom.llm.common import materialize, scratch_path, table, without
 
 
 def _packed(docs: DataFrame, *names: str) -> DataFrame:
@@ -28,7 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group of near copies: that with the smallest id."""
     groups = materialize(partenum.near_components(docs, words=5, num=80, den=100), "near-groups")
     others = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    kept = without(docs, others, "doc_id")
     again = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     if not again:
         return kept

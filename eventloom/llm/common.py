@@ -16,6 +16,9 @@ WORD_SEP = r"[\x20\x09-\x0D]+"
 #: Rows and bytes that one Arrow batch of whole texts may hold; the same for all callers, as plans are lazy.
 BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
 
+#: Bits of the filter of ``without`` for each id, at least, and in all, at most: 8 MB are broadcast, whatever the input.
+BITS_PER_ID, MOST_BITS = 32, 1 << 26
+
 _own_root: dict[str, str] = {}
 
 
@@ -55,6 +58,26 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is none of ``ids(key)``, which has each once: a left anti join that deals out few rows.
+
+    A bit for each hash of an id is broadcast.  Rows without theirs stay where they are; only the others meet the
+    ids, which decide.  So what is shuffled grows with the rows that go, and 1/32 of those that stay; with over two
+    million ids the bits fill, and the rest takes part as in a plain join.
+    """
+    bits = min(MOST_BITS, 1 << max(15, (BITS_PER_ID * ids.count() - 1).bit_length()))
+    # a record holds 32,768 bits
+    place = F.xxhash64(F.col(key).cast(ids.schema[key].dataType)).bitwiseAND(bits - 1)
+    slot = place.bitwiseAND(32767)
+    blocks = ids.groupBy(F.shiftright(place, 15).alias("_block")).agg(F.bitmap_construct_agg(slot).alias("_bits"))
+    marked = df.withColumn("_block", F.shiftright(place, 15)).join(F.broadcast(materialize(blocks, "id-filter")), "_block", "left")
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(slot, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    marked = marked.withColumn("_bits", F.coalesce(F.getbit(byte, slot.bitwiseAND(7).cast("int")) == 1, F.lit(False)))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    stay, met = (marked.where(x).select(*columns) for x in (~F.col("_bits"), F.col("_bits")))
+    return stay.unionByName(met.join(ids, key, "left_anti").select(*columns))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch of whole texts may hold."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

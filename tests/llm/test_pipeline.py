@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from test_partenum import brute
 from test_stores import expected_tokens
 
-from eventloom.llm import lsa_decontam, queries
+from eventloom.llm import common, lsa_decontam, queries
 from eventloom.llm.common import materialize
 
 
@@ -73,3 +73,52 @@ def test_decontamination_does_not_depend_on_which_ids_documents_have(spark, sf_d
         kept.append({(r[0], r.item_id): r.cosine for r in rows})
     assert many.count() > 2000 and len(kept[0]) > 0
     assert kept[0] == pytest.approx(kept[1], abs=1e-4)
+
+
+def texts_dealt_out(df):
+    """Rows with a text that the exchanges of a collected table wrote."""
+    total, nodes = 0, [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            nodes.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            nodes.append(node.plan())
+        else:
+            if kind == "ShuffleExchangeExec" and "text#" in node.output().toString():
+                total += node.metrics().apply("shuffleRecordsWritten").value()
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    """As with tables that are too large to be broadcast."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_texts_that_stay_are_not_dealt_out_to_drop_copies(spark, sf_dir, no_broadcast):
+    """All texts were, once their copies' ids were too many to be broadcast."""
+    words = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    rows = [(i, words(i % 300), "en", "a", i) for i in range(320)] + [(None, words(0), "en", "a", 0)]
+    docs = materialize(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "t-docs")
+    kept = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
+    assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(map(str, [*range(300), None]))
+    assert 20 <= texts_dealt_out(kept) <= 40
+
+
+@pytest.mark.parametrize("most", [1 << 26, 1 << 15])
+@pytest.mark.parametrize("kind", ["long", "int", "string"])
+def test_without_is_a_left_anti_join(spark, no_broadcast, monkeypatch, most, kind):
+    monkeypatch.setattr(common, "MOST_BITS", most)
+    docs = spark.range(-3000, 60_000).selectExpr(f"CAST(id AS {kind}) AS doc_id", "concat('t', id) AS text", "id % 3 AS `a.b`")
+    docs = docs.union(spark.sql(f"SELECT CAST(null AS {kind}), 'n', 1")).union(docs.where("doc_id < 50"))
+    for ids in (spark.range(-9000, 60_000, 3).toDF("doc_id"), spark.range(0).toDF("doc_id")):
+        expected = docs.join(ids, "doc_id", "left_anti").select("doc_id", "text", "`a.b`")
+        got = common.without(docs, ids, "doc_id")
+        assert got.columns == docs.columns and got.dtypes == docs.dtypes
+        assert got.exceptAll(expected).count() == expected.exceptAll(got).count() == 0 < got.count()
