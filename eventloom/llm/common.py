@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Word separators of the contracts: space and the ASCII controls 0x09-0x0D.
@@ -41,13 +41,17 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, tag: str, **told: Column) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    ``told``: aggregates of all rows, taken while they are written, so that no query on the result need ask for them.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.parquet(path)
+    seen = Observation() if told else None
+    (df.observe(seen, *(c.alias(name) for name, c in told.items())) if told else df).write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
-    back.scratch = path
+    back.scratch, back.told = path, seen.get if told else {}
     return back
 
 

@@ -403,11 +403,12 @@ def near_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     rep_of = nodes.where("rep <> doc_id").select("doc_id", "rep")
     # ids that have several sets stand for themselves, and link these
     several = nodes.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("doc_id", "a")
-    links = materialize(nodes.join(several, "doc_id").select("doc_id", "a", F.col("rep").alias("b")), "shingle-several")
-    if some_several := links.limit(1).count():
+    links = materialize(nodes.join(several, "doc_id").select("doc_id", "a", F.col("rep").alias("b")), "shingle-several", n=F.count("*"))
+    if some_several := links.told["n"]:
         reps = reps.unionByName(nodes.join(links.select("doc_id"), "doc_id", "left_semi").withColumn("rep", F.col("doc_id")))
         rep_of = rep_of.join(links.select("doc_id"), "doc_id", "left_anti")
-    reps = reps.select("rep", *facts).dropDuplicates(["rep", "n", *sketch])
+    # written, as many steps read them: each would plan and run this aggregation again
+    reps = materialize(reps.select("rep", *facts).dropDuplicates(["rep", "n", *sketch]), "shingle-reps")
 
     # 2. documents that share a signature
     # slices of about 16 MB: a document's signatures take about as much as its text
@@ -461,7 +462,7 @@ def near_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
         left = held.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
         right = held.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
         joined = df.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
-        return materialize(joined.mapInArrow(_verify(words, num, den), "a long, b long"), tag)
+        return materialize(joined.mapInArrow(_verify(words, num, den), "a long, b long"), tag, n=F.count("*"))
 
     def in_component(df: DataFrame, found: DataFrame | None, name: str) -> DataFrame:
         if found is None:
@@ -484,9 +485,9 @@ def near_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
         rank = F.col("all") if turn == 0 else F.xxhash64("doc", F.lit(turn))
         by_component = placed.groupBy("sig", "c_doc").agg(F.count("*").alias("n"), F.max(F.struct(rank.alias("rank"), "doc")).alias("top"))
         leaders = by_component.groupBy("sig").agg(F.max(F.struct("n", "top", "c_doc")).alias("lead"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same")).where("n > lead.n")
-        leaders = materialize(leaders.select("sig", F.col("lead.top.doc").alias("lead"), F.col("lead.c_doc").alias("c_lead"), "n", "same"), "shingle-leaders")
-        left = leaders.agg(F.sum("n").alias("rows"), F.sum((F.col("n").cast("double") * F.col("n") - F.col("same")) / 2).alias("pairs")).first()
-        if not left.rows or left.pairs <= FEW * left.rows and turn:
+        leaders = materialize(leaders.select("sig", F.col("lead.top.doc").alias("lead"), F.col("lead.c_doc").alias("c_lead"), "n", "same"), "shingle-leaders", rows=F.sum("n"), pairs=F.sum((F.col("n").cast("double") * F.col("n") - F.col("same")) / 2))
+        left = leaders.told
+        if not left["rows"] or left["pairs"] <= FEW * left["rows"] and turn:
             break
         buckets = materialize(placed.drop("c_doc").join(leaders.select("sig"), "sig", "left_semi"), "shingle-open")
         named = in_component(buckets, found, "doc").join(leaders.select("sig", "lead", "c_lead"), "sig").where("c_doc <> c_lead")
@@ -495,13 +496,13 @@ def near_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
         for before in tried:
             asked = asked.join(before, ["a", "b"], "left_anti")
         asked = asked.groupBy("doc").agg(F.max(F.struct("w", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
-        tried.append(materialize(asked, "shingle-tried"))
+        tried.append(materialize(asked, "shingle-tried", n=F.count("*")))
         new = verified(tried[-1], "shingle-links")
         _release(docs)
-        n_new = new.count()
+        n_new = new.told["n"]
         if n_new:
             found = materialize(components(new if found is None else new.union(found.select("component", "node"))), "shingle-components")
-        if 10 * n_new < tried[-1].count() and turn:
+        if 10 * n_new < tried[-1].told["n"] and turn:
             break
 
     # 4. pairs of different components that share enough signatures
@@ -519,7 +520,7 @@ def near_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     rest = met_often.select("a", "b").distinct()
     for before in tried:
         rest = rest.join(before, ["a", "b"], "left_anti")
-    more = verified(rest, "shingle-links")
+    more = verified(materialize(rest, "shingle-tried"), "shingle-links")
     # components seen so far are links too
     final = materialize(components(more if found is None else more.union(found.select("component", "node"))), "shingle-components")
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from eventloom.llm import graph, partenum, queries
+from eventloom.llm.common import materialize
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -149,3 +150,22 @@ def test_components(spark):
     got = {r.node: r.component for r in graph.components(links).collect()}
     assert got == {**{i: 0 for i in range(61)}, 90: 90, 95: 90, 100: 90}
     assert graph.components(links.limit(0)).count() == 0
+
+
+def test_what_the_driver_plans_stays_small(spark):
+    """Large and small star were planned within each other, with their inputs four times each."""
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def listed():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        found = store.executionsList()
+        return {e.executionId(): e.physicalPlanDescription() for e in map(found.apply, range(found.size()))}
+
+    def plans(run):
+        before = listed()
+        run()
+        return [len(re.findall(r"^\(\d+\) ", text, re.M)) for i, text in sorted(listed().items()) if i not in before]
+
+    links = materialize(spark.createDataFrame([(i, i + 1) for i in range(1, 30)], "a long, b long"), "t-links")
+    sizes = plans(lambda: graph.components(links).count())
+    assert max(sizes) <= 60, sizes
