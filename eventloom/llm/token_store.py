@@ -7,9 +7,10 @@ on ids and read stripes in parallel.  ``part`` and ``part_start`` place each doc
 token stream: its start is the total of all earlier parts plus ``part_start``.
 
 Encoding is by the tokenizers library.  Texts repeat words, so each worker remembers the ids of a
-bounded number of pieces already encoded, in a sorted table that a whole chunk of texts is looked up in by hash, after which
+bounded number of pieces already encoded, in a table that a whole chunk of texts is looked up in by hash, after which
 all bytes are compared; a text is cut only where the byte-level pre-tokenizer always cuts (before a
-space or newline that is followed by a character which isn't white space), so the pieces' ids joined
+space or newline that is followed by a character which isn't white space, behind such a newline, and between a Latin
+letter and ASCII punctuation), so the pieces' ids joined
 are the ids of the whole text.  Texts with other white space than single spaces and newlines between words, with the
 spelling of a token added to the vocabulary, or with a piece whose hash another has, are encoded whole.
 
@@ -21,7 +22,6 @@ than ``doc_id`` and ``text`` are ignored.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 
 import numpy as np
@@ -34,15 +34,21 @@ from pyspark.sql import functions as F
 from eventloom.llm.common import small_batches
 
 STORE_SCHEMA = "part int, part_start long, doc_id long, token_ids array<int>"
-#: Pieces that a worker remembers before it starts again; about 30 bytes each.
+#: Pieces that a worker remembers before it starts again; about 60 bytes each.
 MAX_PIECES = 2_000_000
 #: A text with a longer piece is encoded whole.
 LONGEST = 200
 #: Bytes of text that are encoded at once.
 CHUNK = 2 << 20
-#: A run of Latin letters and one of ASCII punctuation: always two pre-tokens.
-_PARTS = re.compile(r"([ \n\x01])([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-/:-@\[-`{-~]*)")
 _FACTOR = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
+#: What ``str.split`` takes for white space, but single spaces and newlines: of one byte, and of two or three.
+_ODD_BYTES = np.isin(np.arange(256), [9, 11, 12, 13, 28, 29, 30, 31])
+_ODD_WIDE = [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+_WIDE_LEADS = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
+#: ASCII letters, what follows 0xC3 in a Latin-1 letter, ASCII punctuation.
+_ASCII_LETTERS = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
+_AFTER_C3 = np.array([0x80 <= b <= 0xBF and b not in (0x97, 0xB7) for b in range(256)])
+_PUNCTUATION = np.array([33 <= b <= 126 and not chr(b).isalnum() for b in range(256)])
 
 
 def byte_letters() -> str:
@@ -59,19 +65,65 @@ def _powers(base: int, n: int) -> np.ndarray:
         return np.multiply.accumulate(out)
 
 
-def is_regular(text: str) -> bool:
-    """Whether all white space of a text is single spaces and newlines between words."""
-    words = text.split()
-    gaps = len(words) - 1
-    return gaps >= 0 and sum(map(len, words)) + gaps == len(text) and text.count(" ") + text.count("\n") == gaps and "\x01" not in text
+def _runs(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of all runs, one behind the other."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def letters_of(data: np.ndarray) -> np.ndarray:
+    """Whether each byte of UTF-8 is part of a Latin-1 letter."""
+    wide = (data[:-1] == 0xC3) & _AFTER_C3[data[1:]]
+    out = _ASCII_LETTERS[data]
+    out[:-1] |= wide
+    out[1:] |= wide
+    return out
+
+
+def irregular(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Whether each text has white space that isn't single spaces and newlines between words; ``bounds``: where texts
+    begin and the last ends."""
+    white = (data == 32) | (data == 10)
+    odd = _ODD_BYTES[data]
+    odd[1:] |= white[1:] & white[:-1]
+    wide = np.flatnonzero(_WIDE_LEADS[data])
+    if len(wide):
+        near = np.append(data, np.zeros(2, "uint8")).astype("int32")
+        two, three = near[wide + 1] & 63, near[wide + 2] & 63
+        code = np.where(data[wide] == 0xC2, 0x80 | two, (near[wide] & 15) << 12 | two << 6 | three)
+        odd[wide[np.isin(code, _ODD_WIDE)]] = True
+    out = np.zeros(len(bounds) - 1, bool)
+    out[np.searchsorted(bounds[1:], np.flatnonzero(odd), "right")] = True
+    filled = bounds[1:] > bounds[:-1]
+    out[filled] |= white[bounds[:-1][filled]] | white[bounds[1:][filled] - 1]
+    return out
+
+
+class Growing:
+    """An array that is appended to without being copied each time."""
+
+    def __init__(self, kind: str):
+        self.held, self.n = np.zeros(1024, kind), 0
+
+    @property
+    def array(self) -> np.ndarray:
+        return self.held[: self.n]
+
+    def extend(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.held):
+            held = np.empty((self.n + len(values)) * 5 // 4, self.held.dtype)
+            held[: self.n] = self.array
+            self.held = held
+        self.held[self.n : self.n + len(values)] = values
+        self.n += len(values)
 
 
 class PieceEncoder:
-    """Ids of whole texts from a sorted table of pieces seen before.
+    """Ids of whole texts from a table of pieces seen before.
 
-    A piece is a word with the space, newline or text start before it, known by a 64-bit polynomial
-    hash of its bytes, which running sums give for all pieces of a chunk at once.  ``keys`` are the sorted
-    hashes, ``starts`` and ``sizes`` say where a piece's ids are in ``pool``.
+    A piece is a newline, or a word or the punctuation behind one with the space before it, known by a 64-bit polynomial
+    hash of its bytes, which running sums give for all pieces of a chunk at once.  ``table`` is open addressing: it says
+    under a hash which piece has it, if any.  Of each piece ``keys`` have the hash, ``starts`` and ``sizes`` say where its
+    ids are in ``pool``, ``begins`` and ``lengths`` where its bytes are in ``spelling``.
     """
 
     def __init__(self, tokenizer_path: str, end_id: int):
@@ -81,68 +133,99 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.by_word = Tokenizer.from_file(tokenizer_path)
         self.by_word.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.letters = byte_letters()
-        self.newline = self.whole("\n")
-        self.end = np.array([end_id], "int32")
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.widths = np.zeros(max(vocabulary.values()) + 1, "int32")
+        self.widths[list(vocabulary.values())] = [len(x) for x in vocabulary]
+        self.letters = np.array([ord(x) for x in byte_letters()], "<u4")
+        self.letters[10] = 32  # ends a word in ``words``
+        self.end_id = end_id
         self.factors, self.inverses = np.zeros(0, "uint64"), np.zeros(0, "uint64")
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.starts, self.sizes = np.zeros(0, "uint64"), np.zeros(0, "int32"), np.zeros(0, "int32")
-        self.pool = np.zeros(0, "int32")
-        self.spelling, self.begins, self.lengths = np.zeros(0, "uint8"), np.zeros(0, "int32"), np.zeros(0, "int32")
+        self.table = np.full(1 << 12, -1, "int32")
+        self.keys, self.starts, self.sizes = Growing("uint64"), Growing("int32"), Growing("int32")
+        self.pool = Growing("int32")
+        self.spelling, self.begins, self.lengths = Growing("uint8"), Growing("int32"), Growing("int32")
+        self.pool.extend(np.array([self.end_id], "int32"))
 
     def whole(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "int32")
 
-    def words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of words (letters, perhaps after a space), each one pre-token: spelled as the vocabulary writes bytes,
-        with a newline between, they go through the same model behind a plain white-space split."""
-        mark = self.letters[10]
-        spelled = "\n".join(words).encode().decode("latin-1").translate(self.letters).replace(mark, f" {mark} ")
-        ids = np.asarray(self.by_word.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, "int32")
-        cuts = np.flatnonzero(ids == self.newline[0])
-        begin, end = np.append(0, cuts + 1).tolist(), np.append(cuts, len(ids)).tolist()
-        return [ids[i:j] for i, j in zip(begin, end)]
-
-    def learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        parts = [_PARTS.fullmatch(p) for p in pieces]
-        known: dict[str, np.ndarray] = {}
-        plain = list({(" " + m[2] if m[1] == " " else m[2]) for m in parts if m})
-        if plain:
-            known = dict(zip(plain, self.words(plain)))
-        found = []
-        suffixes: dict[str, np.ndarray] = {}
-        for p, m in zip(pieces, parts):
-            if m is None:
-                found.append(self.whole(p[1:] if p[0] == "\x01" else p))
-                continue
-            own = [self.newline] if m[1] == "\n" else []
-            own.append(known[" " + m[2] if m[1] == " " else m[2]])
-            if m[3]:
-                if m[3] not in suffixes:
-                    suffixes[m[3]] = self.whole(m[3])
-                own.append(suffixes[m[3]])
-            found.append(np.concatenate(own) if len(own) > 1 else own[0])
-        raw = [p.encode() for p in pieces]
-        at = np.searchsorted(self.keys, keys)
-        for values, parts, begins, sizes in (("pool", found, "starts", "sizes"), ("spelling", [np.frombuffer(b"".join(raw), "uint8")], "begins", "lengths")):
-            size = np.fromiter(map(len, raw if values == "spelling" else found), "int32", len(found))
-            begin = len(getattr(self, values)) + np.cumsum(size, dtype="int32") - size
-            setattr(self, values, np.concatenate([getattr(self, values), *parts]))
-            setattr(self, begins, np.insert(getattr(self, begins), at, begin))
-            setattr(self, sizes, np.insert(getattr(self, sizes), at, size))
-        self.keys = np.insert(self.keys, at, keys)
-
-    def differing(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Whether each piece differs from that of its hash in the table: its bytes are compared."""
-        size = end - begin
-        same = self.lengths[at] == size
-        shift = np.where(same, self.begins[at] - begin, -begin)  # the others are compared with any bytes
-        place = np.repeat(shift, size) + np.arange(begin[0], end[-1])
-        np.clip(place, 0, max(0, len(self.spelling) - 1), out=place)
-        equal = np.minimum.reduceat((self.spelling[place] == data[begin[0] : end[-1]]).view("uint8"), begin - begin[0])
+    def words(self, data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of words, how many each has) of words, each one pre-token of letters, perhaps after a space: spelled as
+        the vocabulary writes bytes, they go through the same model behind a plain white-space split.  As no id
+        spans two words, the bytes of the ids say where one ends."""
+        spelled = np.full(len(data) + len(size), 10, "uint8")
+        spelled[np.arange(len(data)) + np.repeat(np.arange(len(size)), size)] = data
+        text = self.letters[spelled].tobytes().decode("utf-32-le")
+        ids = np.asarray(self.by_word.encode_batch_fast([text], add_special_tokens=False)[0].ids, "int32")
+        done, ends = np.cumsum(self.widths[ids]), np.cumsum(size)
+        last = np.searchsorted(done, ends)
+        if last[-1] != len(ids) - 1 or (done[last] != ends).any():
+            raise ValueError("ids don't have the bytes of their words")
+        return ids, np.diff(last, prepend=-1)
+
+    def learn(self, keys: np.ndarray, data: np.ndarray, begin: np.ndarray, size: np.ndarray, letters: np.ndarray) -> None:
+        """Encode new pieces and put them in the table."""
+        places = _runs(begin, size)
+        n_letters = np.add.reduceat(letters[places].astype("int32"), np.cumsum(size) - size)
+        plain = (n_letters > 0) & (n_letters == size - (data[begin] == 32))
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        keys, begin, size, n = keys[order], begin[order], size[order], int(plain.sum())
+        raw = data[_runs(begin, size)]
+        ends = np.cumsum(size)
+        found, counts = [], [np.zeros(0, "int64")]
+        if n:
+            ids, count = self.words(raw[: ends[n - 1]], size[:n])
+            found.append(ids)
+            counts.append(count)
+        view = raw.tobytes()
+        others = [self.whole(view[j - k : j].decode()) for j, k in zip(ends[n:].tolist(), size[n:].tolist())]
+        counts = np.concatenate([*counts, np.fromiter(map(len, others), "int64", len(others))])
+        at = np.arange(self.keys.n, self.keys.n + len(keys), dtype="int32")
+        self.starts.extend(self.pool.n + np.cumsum(counts) - counts)
+        self.sizes.extend(counts)
+        self.begins.extend(self.spelling.n + ends - size)
+        self.lengths.extend(size)
+        self.spelling.extend(raw)
+        self.pool.extend(np.concatenate([*found, *others]))
+        self.keys.extend(keys)
+        if 2 * self.keys.n > len(self.table):
+            self.table = np.full(1 << (2 * self.keys.n).bit_length(), -1, "int32")
+            at = np.arange(self.keys.n, dtype="int32")
+        self.put(self.keys.array[at], at)
+
+    def put(self, keys: np.ndarray, at: np.ndarray) -> None:
+        slot = (keys & np.uint64(len(self.table) - 1)).astype("int64")
+        while len(at):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = at[free]  # of several one stays
+            left = self.table[slot] != at
+            slot, at = (slot[left] + 1) & (len(self.table) - 1), at[left]
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Which piece has each hash, -1: none."""
+        known, last = self.keys.held, len(self.table) - 1
+        slot = (keys & np.uint64(last)).astype("int64")
+        at = self.table[slot]
+        left = np.flatnonzero((known[at] != keys) & (at >= 0))
+        slot = slot[left]
+        while len(left):
+            slot = (slot + 1) & last
+            at[left] = now = self.table[slot]
+            more = (known[now] != keys[left]) & (now >= 0)
+            left, slot = left[more], slot[more]
+        return at
+
+    def differing(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether each piece of ``data`` differs from that of its hash in the table: its bytes are compared."""
+        same = self.lengths.array[at] == size
+        shift = np.where(same, self.begins.array[at] - begin, -begin)  # the others are compared with any bytes
+        place = np.repeat(shift, size) + np.arange(len(data))
+        np.clip(place, 0, self.spelling.n - 1, out=place)
+        equal = np.minimum.reduceat((self.spelling.array[place] == data).view("uint8"), begin)
         return ~(same & (equal == 1))
 
     def hashes(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -155,45 +238,68 @@ class PieceEncoder:
             x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
             return x ^ (x >> np.uint64(31))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def pieces(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(piece of the table, -1: none, of each piece of ``data``; pieces in each text; which have a piece that has none)."""
+        n = len(bounds) - 1
+        if not len(data):
+            return np.zeros(0, "int32"), np.zeros(n, "int64"), np.zeros(n, bool)
+        letters, newline = letters_of(data), data == 10
+        cut = newline | (data == 32)
+        cut[1:] |= newline[:-1] | (letters[:-1] & _PUNCTUATION[data[1:]])
+        cut[bounds[:-1][bounds[1:] > bounds[:-1]]] = True
+        begin = np.flatnonzero(cut)
+        size = np.diff(begin, append=len(data))
+        of_text = np.diff(np.searchsorted(begin, bounds))
+        keys = self.hashes(data, begin, begin + size)
+        at = self.find(keys)
+        new = np.flatnonzero((at < 0) & (size <= LONGEST))
+        if len(new):
+            own, first = np.unique(keys[new], return_index=True)
+            first = new[first]
+            self.learn(own, data, begin[first], size[first], letters)
+            at[new] = self.find(keys[new])
+        lacking = at < 0
+        if self.keys.n:
+            lacking |= self.differing(data, begin, size, at)
+        bad = np.zeros(n, bool)
+        bad[np.repeat(np.arange(n), of_text)[lacking]] = True
+        return at, of_text, bad
+
+    def encode(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with the end id; number of ids of each)."""
-        regular = [k for k, t in enumerate(texts) if is_regular(t) and not any(x in t for x in self.added)]
-        raw = ["\x01" + texts[k] for k in regular]
-        data = np.frombuffer("".join(raw).encode(), "uint8")
-        begin = np.flatnonzero((data == 32) | (data == 10) | (data == 1))
-        end = np.append(begin[1:], len(data))
-        text_of = np.array(regular, "int64")[np.cumsum(data[begin] == 1) - 1] if regular else np.zeros(0, "int64")
-        odd = set(np.unique(text_of[end - begin > LONGEST]).tolist()) | set(range(len(texts))).difference(regular)
-        if len(self.keys) > MAX_PIECES:
+        held = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "").cast(pa.large_string())
+        n = len(held)
+        bounds = np.frombuffer(held.buffers()[1], "int64")[held.offset : held.offset + n + 1] if n else np.zeros(1, "int64")
+        data = np.frombuffer(held.buffers()[2] or b"", "uint8")[bounds[0] : bounds[-1]]
+        bounds = bounds - bounds[0]
+        odd = irregular(data, bounds)
+        view = data.tobytes()
+        for x in self.added:
+            at = view.find(x)
+            while at >= 0:
+                odd[np.searchsorted(bounds[1:], at, "right")] = True
+                at = view.find(x, at + 1)
+        if odd.any():
+            data = data[np.repeat(~odd, np.diff(bounds))]
+            bounds = np.append(0, np.cumsum(np.where(odd, 0, np.diff(bounds))))
+        if self.keys.n > MAX_PIECES:
             self.forget()
-        keys, first, which = np.unique(self.hashes(data, begin, end), return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
-        new = self.keys[at] != keys if len(self.keys) else np.ones(len(keys), bool)
-        new &= (end - begin)[first] <= LONGEST
-        if new.any():
-            view = data.tobytes()
-            self.learn(keys[new], [view[i:j].decode() for i, j in zip(begin[first[new]].tolist(), end[first[new]].tolist())])
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        if len(begin) and len(self.keys):
-            odd |= set(np.unique(text_of[self.differing(data, begin, end, at[which])]).tolist())
-        starts, sizes = self.starts[at][which] if len(at) else at, self.sizes[at][which] if len(at) else at
-        # texts encoded whole, and the end ids, stand behind the pool
-        extra, more = [self.end], []
-        for k in sorted(odd):
-            more.append((k, len(self.pool) + sum(map(len, extra)), len(ids := self.whole(texts[k]) if texts[k] else self.end[:0])))
-            extra.append(ids)
-        keep = ~np.isin(text_of, list(odd)) if odd else np.ones(len(text_of), bool)
-        own = np.array(more, "int64").reshape(-1, 3)
-        n = np.arange(len(texts))
-        owner = np.concatenate([text_of[keep], own[:, 0], n])
-        starts = np.concatenate([starts[keep], own[:, 1], np.full(len(n), len(self.pool))])
-        sizes = np.concatenate([sizes[keep], own[:, 2], np.ones(len(n), "int64")])
-        order = np.argsort(owner, kind="stable")
-        owner, starts, sizes = owner[order], starts[order], sizes[order]
-        total = int(sizes.sum())
-        place = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)
-        ids = np.concatenate([self.pool, *extra])[place]
-        return ids, np.bincount(owner, sizes, len(texts)).astype("int64")
+        at, of_text, bad = self.pieces(data, bounds)
+        if bad.any():
+            at, of_text = at[~np.repeat(bad, of_text)], np.where(bad, 0, of_text)
+            odd |= bad
+        # behind the pieces of a text stand the ids of one encoded whole, which are added to the pool here only, and the end id
+        extra = [self.whole(held[k].as_py()) for k in np.flatnonzero(odd).tolist()]
+        pool = np.concatenate([self.pool.array, *extra]) if extra else self.pool.array
+        n_extra = np.fromiter(map(len, extra), "int64", len(extra))
+        where = np.repeat(np.cumsum(of_text), 1 + odd)
+        is_end = np.ones(n + len(extra), bool)
+        is_end[np.flatnonzero(odd) + np.arange(len(extra))] = False
+        starts, sizes = np.zeros(len(is_end), "int64"), np.ones(len(is_end), "int64")
+        starts[~is_end], sizes[~is_end] = self.pool.n + np.cumsum(n_extra) - n_extra, n_extra
+        starts, sizes = np.insert(self.starts.array[at], where, starts), np.insert(self.sizes.array[at], where, sizes)
+        last = np.cumsum(of_text + 1 + odd) - 1
+        return pool[_runs(starts, sizes)], np.diff(np.cumsum(sizes)[last], prepend=0)
 
 
 #: Kept while a worker lives, so that later tasks find the pieces of earlier ones.
@@ -225,7 +331,7 @@ def _encoder(tokenizer_path: str, end_id: int):
         part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
             for at, n in _slices(batch.column(1)):
-                values, sizes = encoder.encode([t or "" for t in batch.column(1).slice(at, n).to_pylist()])
+                values, sizes = encoder.encode(batch.column(1).slice(at, n))
                 ends = np.cumsum(sizes)
                 yield pa.RecordBatch.from_arrays(
                     [

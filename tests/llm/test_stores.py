@@ -282,3 +282,46 @@ def test_balanced_white_space_is_encoded_as_the_whole_text(text):
     ids, sizes = encoder.encode([text, "plain words", text])
     assert ids.tolist() == [*encoder.whole(text), 2, *encoder.whole("plain words"), 2, *encoder.whole(text), 2]
     assert sizes.tolist() == [len(encoder.whole(text)) + 1, len(encoder.whole("plain words")) + 1, len(encoder.whole(text)) + 1]
+
+
+class Counted:
+    """A tokenizer that keeps what it is given to encode."""
+
+    def __init__(self, real):
+        self.real, self.given = real, []
+
+    def encode(self, text, **how):
+        self.given.append(text)
+        return self.real.encode(text, **how)
+
+    def encode_batch_fast(self, texts, **how):
+        self.given += texts
+        return self.real.encode_batch_fast(texts, **how)
+
+
+def test_a_word_goes_to_the_library_once_whatever_punctuation_follows():
+    encoder = token_store.PieceEncoder(queries.tokenizer_path(), 2)
+    library = Counted(encoder.tokenizer)
+    words = [a + b for a in ("zorb", "quéx", "Thvim", "ñulk") for b in ("ation", "els", "ühm")]
+    texts = [" ".join(["x", *words]), " ".join(["x.", *words])]
+    encoder.encode(texts)
+    encoder.tokenizer, encoder.by_word = library, Counted(encoder.by_word)
+    later = [" ".join(["x", *(w + mark for w in words)]) for mark in (",", ".", ";", "&&&", "'s", ")")]
+    ids, _ = encoder.encode(later)
+    given = "".join(library.given + encoder.by_word.given)
+    assert not any(w[:4] in given for w in words) and len(given) < 30
+    assert ids.tolist() == [i for t in later for i in [*library.real.encode(t, add_special_tokens=False).ids, 2]]
+
+
+def test_odd_texts_have_the_ids_of_whole_texts():
+    draw = random.Random(4)
+    parts = ["a", "Z", "é", "ß", "×", "÷", "ª", "ſ", "Ж", "中", "é", "'", "'s", "'ll", "’", "“", "1", "٣", "-", ".", "&&&", "\x00", "\x01", "\xad", "​", "😀", "it's", "word", "<|endoftext|>"]
+    gaps = [" ", "\n"] * 12 + ["\t", "\r", "\x0b", "\x1c", "\x85", "\xa0", " ", " ", " ", " ", " ", "　", "  ", "\n\n", ""]
+    encoder = token_store.PieceEncoder(queries.tokenizer_path(), 2)
+    for k in range(500):
+        texts = ["".join("".join(draw.choices(parts, k=draw.randrange(1, 6))) + draw.choice(gaps[: 24 if k % 2 else None]) for _ in range(draw.randrange(9))) for _ in range(9)]
+        texts = [t.strip() if draw.random() < 0.7 else t for t in texts]
+        ids, sizes = encoder.encode(texts)
+        expected = [[*encoder.whole(t), 2] for t in texts]
+        assert ids.tolist() == [i for e in expected for i in e] and sizes.tolist() == [len(e) for e in expected]
+    assert encoder.keys.n > 2048  # the table of pieces has grown
