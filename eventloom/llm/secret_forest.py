@@ -140,7 +140,8 @@ def scan_secrets(
     kinds = [r.label for r in sample.select("label").distinct().collect()]
     if sorted(kinds) == [0.0, 1.0]:
         forest = RandomForestClassifier(labelCol="label", featuresCol="_features", probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_hit", numTrees=trees, maxDepth=depth, seed=seed)
-        model = forest.fit(assembler.transform(sample))
+        # a copy leaves the training summary behind: it holds the session, which can't go to tasks once it has observed a table
+        model = forest.fit(assembler.transform(sample)).copy()
         scored = model.transform(assembler.transform(found)).withColumn("score", vector_to_array("_p")[1])
     else:
         scored = found.withColumn("score", F.lit(0.5))

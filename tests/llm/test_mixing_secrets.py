@@ -6,6 +6,8 @@ import time
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
 
 from eventloom.llm import queries, raking, secret_forest
 
@@ -127,6 +129,17 @@ def test_secret_query_reports_every_key(spark):
     assert plain and len(plain - got) <= 0.1 * len(plain) and len(got - plain) <= 3
 
 
+def test_secrets_are_scored_in_a_session_that_has_observed_a_table(spark):
+    """Spark's session can't be serialized once it has; the forest that goes to tasks holds none."""
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 3
+    docs, secrets = planted(60)
+    out = secret_forest.scan_secrets(spark.createDataFrame(docs, "doc_id long, text string, score string")).collect()
+    assert secrets <= {(r.doc_id, r.value_sha256) for r in out if r.is_secret}
+    assert len({r.score for r in out}) > 1  # a forest was fitted
+
+
 def test_secret_labels_and_edge_rows(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "abc12345678 x"), (3, "abc12345678 x"), (None, "k " * 50_000 + "zzz999888777")], "doc_id long, text string")
     out = secret_forest.scan_secrets(docs).collect()
